@@ -4,7 +4,8 @@ Both sides get one folded form (lower case, no accents, no punctuation or spaces
 in the ways people write it (abbreviations, country names and codes, either order, its aliases). A partition-based
 pigeonhole join then finds every pair within ``EDITS`` edits: a reference form cut into EDITS + 1 segments must share
 one of them with the typed form at nearly the same place, so an equality join on (length, segment, substring) finds
-all candidates; the built-in ``levenshtein`` verifies them. Accepted are one edit, or two when they swap letters.
+all candidates; the built-in ``levenshtein`` verifies them. Accepted are one edit, or two when they swap letters; in the
+lists of kinds (not of places, whose names resemble each other) also any two edits of a form of ten letters or more.
 What no entry answers is found by an anti-join and reported with value 0.
 
 Defined results: null and blank values give no row; a value equal to a canonical entry letter for letter gives none;
@@ -92,8 +93,8 @@ SYNONYMS = {
     "us": ["usa", "united states", "united states of america", "america", "states", "the states", "north america"],
     "europe": ["eu", "eur", "european", "european union", "western europe", "europe uk", "uk europe", "continental europe"],
     "apac": ["asia pac", "asia pacific", "apac region", "a pac", "asia", "far east"],
-    "mea": ["middle east", "middle east and africa", "middle east africa", "mid east africa", "africa", "emea"],
-    "latam": ["lat am", "latin america", "lat america", "south and central america", "south america", "central america"],
+    "mea": ["middle east", "middle east and africa", "middle east africa", "mid east africa", "mid east and africa", "africa", "emea"],
+    "latam": ["lat am", "latin america", "lat america", "south and central america", "south central america", "south america", "central america"],
     "podshop": ["pod", "trading pod", "pm pod", "pods"],
     "multistrategyplatform": ["multi strat", "multi strategy", "multi manager platform", "multi manager", "platform"],
     "hedgefund": ["hf", "hedge", "hedge fd", "hedge funds"],
@@ -121,7 +122,7 @@ def folded(column: str) -> str:
     """SQL for the folded form with single spaces: letters and digits only, without accents."""
     src, dst = _accents()
     marks = f"regexp_replace({column}, r'[\\pM\\pC]+', '')"
-    return f"trim(regexp_replace(translate(lower({marks}), '{src}', '{dst}'), '[^a-z0-9]+', ' '))"
+    return f"trim(regexp_replace(translate(replace(lower({marks}), '&', ' and '), '{src}', '{dst}'), '[^a-z0-9]+', ' '))"
 
 
 def _digraphs(column: str) -> str:
@@ -248,6 +249,7 @@ def map_to_reference(records: DataFrame, id_col: str, fields: list[str], referen
         WHERE edits = 1 AND length(form) > 4
            OR edits = 2 AND length(form) = length(typed)
               AND array_sort(split(form, '')) = array_sort(split(typed, ''))
+           OR edits = 2 AND field_name <> 'location' AND length(form) >= 10
         """,
         forms=forms,
         rest=rest,

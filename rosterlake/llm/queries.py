@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm.canonical import map_to_reference
+from rosterlake.llm.lookalikes import plain_forms
 from rosterlake.session import table
 
 
@@ -14,4 +15,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_reference(table(spark, sf_dir, "candidates"), "candidate_id", fields, table(spark, sf_dir, "canon_values"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain form of every name and firm that differs from it."""
+    return plain_forms(table(spark, sf_dir, "candidates"), "candidate_id", ["name", "current_firm"])
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
