@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm.canonical import map_to_reference
 from rosterlake.llm.lookalikes import plain_forms
+from rosterlake.llm.name_links import name_pairs
 from rosterlake.session import table
 
 
@@ -15,9 +16,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_reference(table(spark, sf_dir, "candidates"), "candidate_id", fields, table(spark, sf_dir, "canon_values"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of firm names that mean the same firm."""
+    return name_pairs(table(spark, sf_dir, "firm_names"), "name_id", "name")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain form of every name and firm that differs from it."""
     return plain_forms(table(spark, sf_dir, "candidates"), "candidate_id", ["name", "current_firm"])
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
