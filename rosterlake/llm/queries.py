@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rosterlake.llm.canonical import map_to_reference
 from rosterlake.llm.lookalikes import plain_forms
 from rosterlake.llm.name_links import name_pairs
+from rosterlake.llm.reading_level import reading_levels
 from rosterlake.session import table
 
 
@@ -26,4 +27,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_forms(table(spark, sf_dir, "candidates"), "candidate_id", ["name", "current_firm"])
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every English document of at least 60 words."""
+    english = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    return reading_levels(english, table(spark, sf_dir, "reading_samples")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found}
