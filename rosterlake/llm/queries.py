@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm.canonical import map_to_reference
 from rosterlake.llm.lookalikes import plain_forms
+from rosterlake.llm.mixing import mix_shares, mix_sources
 from rosterlake.llm.name_links import name_pairs
+from rosterlake.llm.packing import pack, packing_report
 from rosterlake.llm.reading_level import reading_levels
-from rosterlake.session import table
+from rosterlake.llm.tokens import TOKENIZER, with_token_counts
+from rosterlake.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +30,46 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_forms(table(spark, sf_dir, "candidates"), "candidate_id", ["name", "current_firm"])
 
 
+def p6_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The container of every piece of every document, for each packing spec."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "doc_type", "text")
+    sized = with_token_counts(documents, tokenizer=tokenizer, prompt_col="n_prompt")
+    return pack(sized, table(spark, sf_dir, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each packing spec are."""
+    return packing_report(p6_packing(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def _drawn(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(cut(with_token_counts(documents, tokenizer=tokenizer)), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """How often each document is drawn for each mix."""
+    return _drawn(spark, sf_dir, tokenizer)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Target and actual share of every source of every mix."""
+    return mix_shares(_drawn(spark, sf_dir, tokenizer), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every English document of at least 60 words."""
     english = table(spark, sf_dir, "documents").filter("lang = 'en'")
     return reading_levels(english, table(spark, sf_dir, "reading_samples")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found}
+QUERIES = {
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p6_packing": p6_packing,
+    "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+}
