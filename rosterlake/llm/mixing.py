@@ -3,7 +3,7 @@
 For each mix the total is the largest that no source's cap forbids: min over sources of cap * tokens / share. Every
 record of a source then has the same expected number of copies; its whole part is taken outright and its fraction is
 decided by pivotal dependent rounding: two fractions meet, mass moves at random from one to the other until one is
-integral, the other goes on to meet the next. Records meet in order of size, so that little size moves with the mass,
+integral, the other goes on to meet the next. Records meet from the largest to the smallest, so that little size moves with the mass,
 and of ``tries`` random roundings of a shard the one whose size comes nearest to its expectation is kept.
 Each shard leaves one undecided record; these residuals meet in turn in a reduction tree of bounded fan-in.
 
@@ -86,7 +86,7 @@ def mix_sources(
 
     def meet(level: int, last: bool):
         def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["n_tokens", "_id"], kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["n_tokens", "_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
             rng = np.random.default_rng([seed, level, *(zlib.crc32(str(k).encode()) for k in key)])
             p, size = pdf["_p"].to_numpy(float).copy(), pdf["n_tokens"].to_numpy(float)
             due, best = float(p @ size), None
