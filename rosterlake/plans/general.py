@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions.months import month_number
 from rosterlake.operators.interval_map import periods_and_gaps
 from rosterlake.operators.packed_values import split_packed
+from rosterlake.plans.interval_queries import P3_ORACLE
 from rosterlake.session import table
 
 PACKED_FIELDS = ["sectors", "asset_classes", "employers", "approach_keywords"]
@@ -33,3 +34,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+ORACLES = {"p3_found": P3_ORACLE}
