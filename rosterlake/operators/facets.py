@@ -26,11 +26,13 @@ def facet_counts(pool: DataFrame, facets: list[str], selections: dict[str, list[
 
     One scan: a record is exploded to (facet, value) pairs of the facets whose other selections it passes.
     """
-    pairs = []
-    for f in facets:
+
+    def pairs_of(f: str) -> Column:
         values = F.array_distinct(F.col(f)) if f in lists else F.array(F.col(f))
-        ok = matches(selections, skip=f, lists=lists)
-        pairs.append(F.when(ok, F.transform(values, lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value")))))
+        named = F.transform(values, lambda v: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value")))
+        return F.when(matches(selections, skip=f, lists=lists), named)
+
+    pairs = [pairs_of(f) for f in facets]
     rows = pool.select(F.explode(F.flatten(F.array_compact(F.array(*pairs)))).alias("x")).select("x.*")
     return rows.filter("value is not null and value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
 

@@ -54,12 +54,12 @@ def credential_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postcode_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed places whose postcode does not start with one of the two commonest leading digits of that city."""
+    """Typed places whose postcode does not start with the commonest leading digit of that city."""
     rows = people(spark, sf_dir, "location").select(
         "candidate_id", "location", F.regexp_extract("location", r"^\s*([^,0-9]+?),?\s", 1).alias("city"), F.regexp_extract("location", r"\b(\d{5})\b", 1).alias("code")
     ).filter("code <> '' and city <> ''")
     per = rows.groupBy("city", F.substring("code", 1, 1).alias("p")).agg(F.count("*").alias("n"))
-    book = per.groupBy("city").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p"))), 1, 2).alias("top"))
+    book = per.groupBy("city").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p"))), 1, 1).alias("top"))
     book = book.select("city", F.transform("top", lambda x: x["p"]).alias("prefixes"))
     return rows.join(book, "city", "left").filter(C.postcode_mismatch(F.col("city"), F.col("code"), F.col("prefixes"))).select("candidate_id", "location", "city", "code")
 
@@ -171,7 +171,7 @@ _EXTRACT = """extraction AS (
   WHERE replacement_chars_remaining > 0)"""
 _LOGGED = r"""logged AS (
   SELECT source_file, unnest(l) AS summary, generate_subscripts(l, 1) - 1 AS i FROM (
-    SELECT source_file, list_filter(list_transform(regexp_split_to_array(warnings, '[|;]'), x -> trim(x)), x -> x <> '') AS l
+    SELECT source_file, list_filter(list_transform(regexp_split_to_array(warnings, '[|;]'), lambda x: trim(x)), lambda x: x <> '') AS l
     FROM extraction_log WHERE warnings IS NOT NULL))"""
 _SCORE = """scored AS (
   SELECT candidate_id, greatest(0, least(100, 100
@@ -212,7 +212,7 @@ ORACLES = {
         p AS (SELECT city, p, row_number() OVER (PARTITION BY city ORDER BY n DESC, p) AS i
               FROM (SELECT city, substr(code, 1, 1) AS p, count(*) AS n FROM k GROUP BY 1, 2))
         SELECT candidate_id, location, city, code FROM k
-        WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.city = k.city AND i <= 2 AND starts_with(code, p.p))""",
+        WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.city = k.city AND i <= 1 AND starts_with(code, p.p))""",
     "ambiguous_employers": f"""
         SELECT candidate_id, pos, firm FROM (SELECT DISTINCT candidate_id, pos, firm FROM positions)
         JOIN ({RESOLVE["resolve_firms"]}) ON firm = raw WHERE resolution = 'ambiguous'""",

@@ -49,7 +49,7 @@ def quoted(values: list[str]) -> str:
 
 SQL_SECTORS = (
     r"""list_filter(list_distinct(list_transform(regexp_split_to_array(regexp_replace(lower({0}), '[\[\]"''•*()]|\b\d\b\.?', '', 'g'),"""
-    r""" '[;|\n\t·,/&+]| and '), x -> replace(trim(x), ' ', '_'))), x -> x IN ("""
+    r""" '[;|\n\t·,/&+]| and '), lambda x: replace(trim(x), ' ', '_'))), lambda x: x IN ("""
     + quoted(SECTORS)
     + "))"
 )

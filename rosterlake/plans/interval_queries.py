@@ -25,7 +25,7 @@ def partial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def years_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles(spark, sf_dir, "employment_type", "is_investment_role", "duration_months")
-    paid = F.col("employment_type") == "full-time"
+    paid = F.col("employment_type") == "professional"
     career = I.years_of_experience(rows, "candidate_id", AS_OF, paid).withColumnRenamed("years", "career_years")
     own = I.years_of_experience(rows, "candidate_id", AS_OF, paid & F.col("is_investment_role")).withColumnRenamed("years", "investing_years")
     return career.join(own, "candidate_id")
@@ -39,7 +39,7 @@ def date_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def career_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spans(spark, sf_dir, "employment_type").filter("employment_type = 'full-time'")
+    rows = _spans(spark, sf_dir, "employment_type").filter("employment_type = 'professional'")
     return I.gaps(rows, "candidate_id", 6)
 
 
@@ -51,7 +51,7 @@ def study_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first full-time position that overlaps each academic one by six months or more."""
     rows = _spans(spark, sf_dir, "employment_type").withColumn("id", F.col("pos"))
     study = rows.filter("employment_type = 'academic'").select("candidate_id", "id", "s", "e")
-    work = rows.filter("employment_type = 'full-time'").select("candidate_id", "id", "s", "e")
+    work = rows.filter("employment_type = 'professional'").select("candidate_id", "id", "s", "e")
     return I.first_overlap(study, work, "candidate_id", 6)
 
 
@@ -78,7 +78,7 @@ def _years(condition: str, name: str) -> str:
         LEFT JOIN {name}_m USING (candidate_id) LEFT JOIN {name}_x USING (candidate_id))"""
 
 
-_PAID = "employment_type = 'full-time'"
+_PAID = "employment_type = 'professional'"
 ORACLES = {
     "partial_dates": f"""
         SELECT DISTINCT raw, ({sql_month("raw")})::BIGINT AS month
@@ -105,7 +105,7 @@ ORACLES = {
           SELECT a.candidate_id, a.pos AS id, b.pos AS other, least(a.e, b.e) - greatest(a.s, b.s) AS months,
                  row_number() OVER (PARTITION BY a.candidate_id, a.pos ORDER BY b.s, b.pos, least(a.e, b.e) - greatest(a.s, b.s)) AS r
           FROM spans a JOIN spans b ON a.candidate_id = b.candidate_id
-          WHERE a.employment_type = 'academic' AND b.employment_type = 'full-time' AND least(a.e, b.e) - greatest(a.s, b.s) >= 6)
+          WHERE a.employment_type = 'academic' AND b.employment_type = 'professional' AND least(a.e, b.e) - greatest(a.s, b.s) >= 6)
         SELECT candidate_id, id, other, months FROM m WHERE r = 1""",
     "junior_range": """
         SELECT DISTINCT candidate_id, years_investment_experience BETWEEN 1 AND 5 AS junior FROM candidates""",

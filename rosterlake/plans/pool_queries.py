@@ -201,7 +201,7 @@ ORACLES = {
           FROM (SELECT DISTINCT candidate_id, approach_family, has_buy_side, has_sell_side, in_junior_range FROM candidates)),
         s AS (SELECT avg(a::INT) AS a, avg(b::INT) AS b, avg(c::INT) AS c, avg(d::INT) AS d FROM m)
         SELECT candidate_id, array_to_string(list_filter([CASE WHEN m.a AND s.a < 0.4 THEN 'hybrid' END, CASE WHEN m.b AND s.b < 0.4 THEN 'systematic' END,
-          CASE WHEN m.c AND s.c < 0.4 THEN 'both sides' END, CASE WHEN m.d AND s.d < 0.4 THEN 'junior' END], x -> x IS NOT NULL)[1:3], '; ') AS tags FROM m, s""",
+          CASE WHEN m.c AND s.c < 0.4 THEN 'both sides' END, CASE WHEN m.d AND s.d < 0.4 THEN 'junior' END], lambda x: x IS NOT NULL)[1:3], '; ') AS tags FROM m, s""",
     "confusion_matrix": f"""
         WITH {_JUDGED}, c AS (SELECT requisition_id, count(*) FILTER (WHERE label = 'yes' AND hit) AS tp, count(*) FILTER (WHERE label = 'no' AND hit) AS fp,
           count(*) FILTER (WHERE label = 'yes' AND NOT hit) AS fn, count(*) FILTER (WHERE label = 'no' AND NOT hit) AS tn,
@@ -221,9 +221,9 @@ ORACLES = {
         SELECT doc_id, kind, len(f) AS n, CASE WHEN length(f[1]) > 26 THEN substr(f[1], 1, 24) || '…' ELSE f[1] END AS first FROM k WHERE len(f) > 0""",
     "merged_keywords": """
         WITH c AS (SELECT candidate_id, list_filter(list_transform(list_concat(coalesce(string_split(lower(approach_keywords), ';'), []),
-            coalesce(string_split(lower(sectors), ';'), [])), x -> trim(x)), x -> x <> '') AS l
+            coalesce(string_split(lower(sectors), ';'), [])), lambda x: trim(x)), lambda x: x <> '') AS l
           FROM (SELECT DISTINCT candidate_id, approach_keywords, sectors FROM candidates))
-        SELECT candidate_id, array_to_string(list_filter(l, (x, i) -> list_position(l, x) = i), '|') AS keywords FROM c""",
+        SELECT candidate_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS keywords FROM c""",
     "line_groups": f"""
         WITH {_WORDS} SELECT doc_id, line, md5(string_agg(text, ' ' ORDER BY x0, text)) AS text_md5, count(*) AS n_words
         FROM (SELECT *, round_even(top / 3.0, 0)::BIGINT AS line FROM words) GROUP BY 1, 2""",

@@ -58,7 +58,7 @@ def platform_alumni(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = firms.select(F.col("canonical").alias("root"), F.col("canonical").alias("ancestor"), F.lit(0).alias("lvl"))
     line = own.unionByName(R.lineage(firms)).join(firms, F.col("ancestor") == F.col("canonical")).filter(F.col("firm_type").isin(*PLATFORMS))
     line = line.select("root", "lvl", F.coalesce("parent", "ancestor").alias("platform"))
-    work = roles(spark, sf_dir, "firm", "employment_type").filter("employment_type = 'full-time'")
+    work = roles(spark, sf_dir, "firm", "employment_type").filter("employment_type = 'professional'")
     met = work.join(line, F.col("firm") == F.col("root")).groupBy("candidate_id", "platform").agg(F.min(F.struct("pos", "lvl")).alias("o"))
     return met.groupBy("candidate_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "platform"))), lambda x: x["platform"]), "; ").alias("platforms")
@@ -129,7 +129,7 @@ def credential_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def employer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Employers of each candidate with the kinds of employment held there, full-time and internships first."""
     p = roles(spark, sf_dir, "firm", "employment_type").filter("trim(firm) <> ''")
-    rank = F.when(F.col("k") == "full-time", 0).when(F.col("k") == "intern", 1).otherwise(2)
+    rank = F.when(F.col("k") == "professional", 0).when(F.col("k") == "internship", 1).otherwise(2)
     kinds = p.select("candidate_id", "pos", F.col("firm").alias("f"), F.coalesce("employment_type", F.lit("")).alias("k"))
     g = kinds.groupBy("candidate_id", "f").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_set(F.struct(rank.alias("r"), "k"))).alias("ks"))
     named = F.array_join(F.filter(F.transform("ks", lambda x: x["k"]), lambda k: k != ""), ", ")
@@ -162,7 +162,7 @@ def market_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = roles(spark, sf_dir, "firm", "title", "employment_type").filter("is_current and employment_type = 'full-time'")
+    p = roles(spark, sf_dir, "firm", "title", "employment_type").filter("is_current and employment_type = 'professional'")
     return p.groupBy("candidate_id").agg(F.min(F.struct("pos", "firm", "title")).alias("r")).select("candidate_id", "r.pos", "r.firm", "r.title")
 
 
@@ -231,7 +231,7 @@ ORACLES = {
           SELECT u.root, u.lvl, coalesce(f.parent, u.cur) AS platform FROM up u JOIN firms f ON f.canonical = u.cur
           WHERE f.firm_type IN ({quoted(PLATFORMS)})),
         met AS (SELECT candidate_id, platform, min((pos, lvl)) AS o FROM roles JOIN line ON firm = root
-                WHERE employment_type = 'full-time' GROUP BY 1, 2)
+                WHERE employment_type = 'professional' GROUP BY 1, 2)
         SELECT candidate_id, string_agg(platform, '; ' ORDER BY o, platform) AS platforms FROM met GROUP BY 1""",
     "location_region": f"WITH {_region('positions')} SELECT location, term, value FROM region",
     "location_fallback": f"""
@@ -262,8 +262,8 @@ ORACLES = {
         FROM s LEFT JOIN b ON trim(regexp_extract(lower(trim(raw)), '^(series \d+|[a-z ]+)', 1)) = lower(code)""",
     "employer_kinds": f"""
         WITH {SQL_ROLES}, k AS (SELECT candidate_id, firm AS f, min(pos) AS pos FROM roles WHERE trim(firm) <> '' GROUP BY 1, 2),
-        n AS (SELECT candidate_id, firm AS f, string_agg(DISTINCT employment_type, ', ' ORDER BY CASE employment_type WHEN 'full-time' THEN '0'
-              WHEN 'intern' THEN '1' ELSE '2' || employment_type END) AS ks FROM (SELECT DISTINCT candidate_id, firm, employment_type FROM roles
+        n AS (SELECT candidate_id, firm AS f, string_agg(DISTINCT employment_type, ', ' ORDER BY CASE employment_type WHEN 'professional' THEN '0'
+              WHEN 'internship' THEN '1' ELSE '2' || employment_type END) AS ks FROM (SELECT DISTINCT candidate_id, firm, employment_type FROM roles
               WHERE employment_type <> '') GROUP BY 1, 2),
         l AS (SELECT candidate_id, pos, CASE WHEN ks IS NULL THEN f ELSE f || ' (' || ks || ')' END AS label FROM k LEFT JOIN n USING (candidate_id, f))
         SELECT candidate_id, string_agg(label, ' | ' ORDER BY pos, label) AS employers FROM l GROUP BY 1""",
@@ -277,6 +277,6 @@ ORACLES = {
         FROM positions LEFT JOIN firms ON firm = canonical GROUP BY 1""",
     "current_role": f"""
         WITH {SQL_ROLES}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY pos, firm, title) AS n FROM roles
-          WHERE is_current AND employment_type = 'full-time')
+          WHERE is_current AND employment_type = 'professional')
         SELECT candidate_id, pos, firm, title FROM r WHERE n = 1""",
 }

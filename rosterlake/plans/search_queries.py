@@ -115,7 +115,7 @@ def _meet(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = people(spark, sf_dir, "region", "sectors", "years_experience", "years_investment_experience", "stocks_covered")
     c = c.withColumn("sectors", F.coalesce(sector_list(F.col("sectors")), F.array().cast("array<string>")))
     r = table(spark, sf_dir, "requisitions").select("requisition_id", "regions", "sectors_any", "min_years", "max_years", "coverage_benchmark")
-    return c.crossJoin(F.broadcast(r.fillna({})))
+    return c.crossJoin(F.broadcast(r))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,12 +221,12 @@ _STOP = quoted(STOP_WORDS)
 
 
 def _tok(c: str) -> str:
-    return f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9+#]{{2,}}')), x -> x NOT IN ({_STOP}))"
+    return f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9+#]{{2,}}')), lambda x: x NOT IN ({_STOP}))"
 
 
 def _con(c: str) -> str:
     whens = ", ".join(f"CASE WHEN regexp_matches(lower({c}), '{M._pattern(p)}') THEN '{n}' END" for n, p in M.CONCEPTS.items())
-    return f"list_filter([{whens}], x -> x IS NOT NULL)"
+    return f"list_filter([{whens}], lambda x: x IS NOT NULL)"
 
 
 def _sim(rw: str, rc: str, w: str, c: str) -> str:
@@ -237,7 +237,7 @@ def _sim(rw: str, rc: str, w: str, c: str) -> str:
 
 
 _SENT = rf"""sent0 AS (SELECT doc_id, candidate_id, requisition_id, list_filter(list_transform(regexp_split_to_array(
-      regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n'), x -> trim(x)), x -> length(x) > 3) AS l
+      regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n'), lambda x: trim(x)), lambda x: length(x) > 3) AS l
     FROM documents WHERE lang = 'en' AND text IS NOT NULL),
   sent1 AS (SELECT doc_id, candidate_id, requisition_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS ord FROM sent0),
   sent AS (SELECT *, {_tok("sentence")} AS words, {_con("sentence")} AS concepts FROM sent1)"""
@@ -281,7 +281,7 @@ ORACLES = {
     "quality_at_least": f"WITH {_POOL} SELECT candidate_id, quality_band FROM pool WHERE quality_band IN ('medium', 'high')",
     "coverage_quotes": r"""
         SELECT doc_id, q[1] AS quote FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\.\s+|\n'),
-          x -> regexp_matches(lower(x), '\bcover(age|ing|s)?\b') AND regexp_matches(x, '\b\d+\b')) AS q FROM documents) WHERE len(q) > 0""",
+          lambda x: regexp_matches(lower(x), '\bcover(age|ing|s)?\b') AND regexp_matches(x, '\b\d+\b')) AS q FROM documents) WHERE len(q) > 0""",
     "ask_topk": f"""
         WITH {_SENT}, q AS (SELECT {_tok(quoted([QUESTION]))} AS rw, {_con(quoted([QUESTION]))} AS rc),
         s AS (SELECT doc_id, ord, sentence, {_sim("rw", "rc", "words", "concepts")} AS score FROM sent, q),
@@ -311,10 +311,10 @@ ORACLES = {
         SELECT e.requisition_id, e.candidate_id, coalesce(string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 2), '') AS signals
         FROM e LEFT JOIN r USING (requisition_id, candidate_id) GROUP BY 1, 2""",
     "skills_overlap": """
-        WITH c AS (SELECT candidate_id, list_filter(list_transform(string_split(lower(software_tools), ';'), x -> trim(x)), x -> x <> '') AS h
+        WITH c AS (SELECT candidate_id, list_filter(list_transform(string_split(lower(software_tools), ';'), lambda x: trim(x)), lambda x: x <> '') AS h
           FROM (SELECT DISTINCT candidate_id, software_tools FROM candidates))
-        SELECT candidate_id, CASE WHEN h IS NOT NULL THEN len(list_filter(['python', 'excel', 'bloomberg terminal', 'sql'],
-          w -> len(list_filter(h, x -> contains(x, w) OR contains(w, x))) > 0)) / 4 END AS share FROM c""",
+        SELECT candidate_id, len(list_filter(['python', 'excel', 'bloomberg terminal', 'sql'],
+          lambda w: len(list_filter(coalesce(h, []), lambda x: contains(x, w) OR contains(w, x))) > 0)) / 4 AS share FROM c""",
     "component_compare": f"""
         WITH {_MEET}, b AS (SELECT m.*, r.rank FROM meet m JOIN result r USING (requisition_id, candidate_id) WHERE r.result = 'exact' AND rank <= 2),
         p AS (SELECT requisition_id, rank, 'sector_fit' AS part, coalesce(s1, 0) AS s FROM b

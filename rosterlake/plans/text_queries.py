@@ -10,7 +10,7 @@ from rosterlake.session import table
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _FLAG = ", ".join(f"'{w}'" for w in T.FLAG_STOP_WORDS)
-_INITCAP = "array_to_string(list_transform(string_split(lower({0}), ' '), x -> upper(x[1]) || x[2:]), ' ')"
+_INITCAP = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +123,12 @@ ORACLES = {
     "text_loose": f"SELECT doc_id, md5({_FOLD.format('text')}) AS loose_md5 FROM documents",
     "text_tokens": f"""
         WITH t AS (SELECT doc_id, text, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9+#]{{2,}}')),
-                          x -> x NOT IN ({_STOP})) AS t FROM documents)
+                          lambda x: x NOT IN ({_STOP})) AS t FROM documents)
         SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE len(t) END AS n,
                CASE WHEN text IS NULL THEN NULL ELSE md5(coalesce(array_to_string(list_sort(t), ' '), '')) END AS tokens_md5 FROM t""",
     "text_flag_tokens": f"""
         SELECT source_file, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(warnings), '[a-z]{{4,}}')),
-               x -> x NOT IN ({_FLAG}))), ' ') AS words FROM extraction_log WHERE warnings IS NOT NULL""",
+               lambda x: x NOT IN ({_FLAG}))), ' ') AS words FROM extraction_log WHERE warnings IS NOT NULL""",
     "text_slug": rf"""
         SELECT candidate_id, regexp_replace(regexp_replace(lower(coalesce(nullif(name, ''), regexp_replace(source_file, '\.[^.]*$', ''))),
                '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {_PEOPLE}""",
@@ -141,7 +141,7 @@ ORACLES = {
         SELECT candidate_id, CASE WHEN upper(n) = n THEN {_INITCAP.format("n")} ELSE n END AS display_name FROM b""",
     "text_short_name": rf"""
         WITH b AS (SELECT candidate_id, list_filter(regexp_split_to_array(trim({_BARE}), '\s+'),
-                   x -> x <> '' AND NOT starts_with(x, '(')) AS w FROM {_PEOPLE} WHERE regexp_full_match(name, '[ -~]*'))
+                   lambda x: x <> '' AND NOT starts_with(x, '(')) AS w FROM {_PEOPLE} WHERE regexp_full_match(name, '[ -~]*'))
         SELECT candidate_id, w[len(w)] AS short_name FROM b""",
     "text_label": f"""
         SELECT DISTINCT candidate_id, coalesce({_INITCAP.format("replace(approach_family, '_', ' ')")}, '—') AS family,
@@ -153,12 +153,12 @@ ORACLES = {
         SELECT candidate_id, raw, CASE WHEN status = '' THEN code
                ELSE trim(regexp_replace(code, '\([^()]*\)\s*$', '')) || ' · ' || status END AS label FROM p""",
     "text_lines": r"""
-        WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), x -> trim(x)), x -> x <> '') AS l FROM documents)
+        WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
         SELECT doc_id, len(l) AS n_lines, l[1] AS first_line FROM l""",
     "text_dedupe_cells": """
         WITH c AS (SELECT DISTINCT candidate_id, software_tools FROM candidates),
-        x AS (SELECT candidate_id, list_filter(list_transform(string_split(software_tools, ';'), x -> trim(x)), x -> x <> '') AS l FROM c)
-        SELECT candidate_id, array_to_string(list_filter(l, (x, i) -> list_position(l, x) = i), '|') AS cells FROM x""",
+        x AS (SELECT candidate_id, list_filter(list_transform(string_split(software_tools, ';'), lambda x: trim(x)), lambda x: x <> '') AS l FROM c)
+        SELECT candidate_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS cells FROM x""",
     "text_sections": f"""
         WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^## (.+)$', 1)) AS heading FROM documents),
         k AS (SELECT doc_id, heading, {_FOLD.format("heading")} AS key FROM h),
