@@ -92,11 +92,14 @@ def scan_directory(spark: SparkSession, path: str, readers: dict[str, Callable[[
     return files.mapInPandas(extract, REPORT)
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Nested JSON records by a declared schema; records that do not fit keep their text in ``_corrupt``."""
+def read_records(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Nested JSON records by a declared schema; records that do not fit keep their text in ``_corrupt``.
+
+    ``multi_line``: files hold a list of records; otherwise one record a line.
+    """
     return (
         spark.read.schema(f"{schema}, _corrupt string")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)

@@ -135,6 +135,11 @@ def test_files_and_cache(spark, tmp_path):
     write_csv(df.filter("id = 1").withColumn("text", F.regexp_replace("text", "\n", " ")), str(tmp_path / "c"))
     assert read_csv(spark, str(tmp_path / "c"), "id int, text string").first()["text"] == 'a, "b" c'
     write_json(df, str(tmp_path / "j"))
-    assert read_records(spark, str(tmp_path / "j"), "id int, text string").filter("_corrupt is null").count() >= 1
+    assert sorted(r["id"] for r in read_records(spark, str(tmp_path / "j"), "id int, text string", multi_line=False).collect()) == [1, 2]
+    (tmp_path / "list.json").write_text('[{"id": 7, "text": "x"}, {"id": 8}]')
+    assert [r["id"] for r in read_records(spark, str(tmp_path / "list.json"), "id int, text string").collect()] == [7, 8]
+    (tmp_path / "bad.json").write_text('{"id": 7}\n{"id": "seven"}\n')
+    got = read_records(spark, str(tmp_path / "bad.json"), "id int, text string", multi_line=False).collect()
+    assert [(r["id"], r["_corrupt"] is None) for r in got] == [(7, True), (None, False)]
     assert [r["id"] for r in cache_misses(df, df.filter("id = 1"), "text", "v1").collect()] == [2]
     assert cache_misses(df, df.filter("id = 1"), "text", "v1").columns == ["id", "text", "cache_key"]
