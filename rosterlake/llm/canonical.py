@@ -19,6 +19,8 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
+from rosterlake.session import cut
+
 EDITS = 2
 
 # Country names with their codes and other ways to write them.
@@ -204,14 +206,17 @@ def map_to_reference(records: DataFrame, id_col: str, fields: list[str], referen
             WHERE value RLIKE r'\\S' AND {id_col} IS NOT NULL""",
         records=records,
     )
-    cells = spark.sql(
-        """SELECT c.* FROM {cells} c LEFT ANTI JOIN {ref} r
-           ON c.field_name = r.field_name AND c.value = r.canonical""",
-        cells=cells,
-        ref=reference,
+    # Each table that several steps read is computed once; plans stay small for the driver.
+    cells = cut(
+        spark.sql(
+            """SELECT c.* FROM {cells} c LEFT ANTI JOIN {ref} r
+               ON c.field_name = r.field_name AND c.value = r.canonical""",
+            cells=cells,
+            ref=reference,
+        )
     )
-    typed = typed_forms(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells))
-    forms = reference_forms(reference)
+    typed = cut(typed_forms(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells)))
+    forms = cut(reference_forms(reference))
     exact = spark.sql(
         """SELECT t.field_name, t.value, r.value_id, 0 AS edits, r.fullness
            FROM {typed} t JOIN {forms} r ON t.field_name = r.field_name AND t.form = r.form""",
@@ -254,12 +259,12 @@ def map_to_reference(records: DataFrame, id_col: str, fields: list[str], referen
         forms=forms,
         rest=rest,
     )
-    best = spark.sql(
+    best = cut(spark.sql(
         """SELECT field_name, value, min(struct(edits, -fullness, value_id)).value_id AS value_id
            FROM (SELECT * FROM {exact} UNION ALL SELECT * FROM {near}) GROUP BY field_name, value""",
         exact=exact,
         near=near,
-    )
+    ))
     unmatched = spark.sql(
         """SELECT t.field_name, t.value, 0L AS value_id FROM {typed} t
            LEFT ANTI JOIN {best} b ON t.field_name = b.field_name AND t.value = b.value""",
