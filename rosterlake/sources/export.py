@@ -30,7 +30,7 @@ def cache_misses(todo: DataFrame, cached: DataFrame, text: str, *settings: str)
     """Rows of ``todo``, with their key, whose result is not in the cache (rows with the same column and settings)."""
     keyed = todo.withColumn("cache_key", cache_key(F.col(text), *settings))
     have = cached.select(cache_key(F.col(text), *settings).alias("cache_key")).distinct()
-    return keyed.join(have, "cache_key", "left_anti")
+    return keyed.join(have, "cache_key", "left_anti").select(*todo.columns, "cache_key")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
