@@ -44,3 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage with a reliable checkpoint that survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash-partition by columns for stages that are heavy in CPU but light in bytes, which AQE would coalesce."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores is spread over all of them; larger ones stay as they are read."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
