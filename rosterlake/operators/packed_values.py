@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.session import cut
+from rosterlake.session import cut, spread
 
 HARD = set(";|\n\r\t·•‣；｜")
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»"}
@@ -244,7 +244,7 @@ def _lex_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _score_frame(spans: DataFrame, freq: DataFrame) -> DataFrame:
     """Every open chunk with the frequencies of its possible values."""
     return (
-        spans.join(freq, ["_field", "_key"], "left")
+        spread(spans.join(freq, ["_field", "_key"], "left"), "_field", "_chunk", "_hard")
         .groupBy("_field", "_chunk", "_hard")
         .agg(
             F.first("_n").alias("_n"),
@@ -271,8 +271,8 @@ def split_packed(
         records.select(F.col(id_col).alias("_id"), F.explode(pairs).alias("_p"))
         .select("_id", F.col("_p.f").alias("_field"), F.col("_p.t").alias("_text"))
         .filter(F.col("_text").rlike(r"\S") & F.col("_id").isNotNull())
-        .dropDuplicates(["_id", "_field", "_text"])
     )
+    cells = spread(cells, "_id", "_field", "_text").dropDuplicates(["_id", "_field", "_text"])
     schema = f"_id string, _field string, _chunks {CHUNKS}, _hard boolean, _any boolean"
     lexed = cut(cells.select(F.col("_id").cast("string"), "_field", "_text").mapInPandas(_lex_batches, schema))
 
@@ -302,22 +302,12 @@ def split_packed(
             yield pd.DataFrame(rows, columns=["_field", "_hard", "_chunk", "_n", "_key", "_whole"])
 
     keyed = cut(
-        distinct.mapInPandas(
+        spread(distinct, "_chunk").mapInPandas(
             spans_of, "_field string, _hard boolean, _chunk string, _n double, _key string, _whole boolean"
         )
     )
     sure = keyed.filter("_chunk is null").groupBy("_field", "_key").agg(F.sum("_n").alias("_sure"))
     spans = keyed.filter("_chunk is not null")
-    rates: dict[str, dict[str, float]] = {f: {} for f in fields}
-
-    def learned(freq: DataFrame) -> dict[str, Model]:
-        rows = freq.groupBy("_field").agg(
-            F.sum("_freq").alias("n"), F.sum("_sure").alias("s"), F.count_if(F.col("_sure") == 1).alias("once")
-        )
-        return {
-            r["_field"]: Model(r["n"], max(1.0, r["once"]), math.log(max(1 - r["s"] / (r["n"] + 1), 1e-3)), rates[r["_field"]])
-            for r in rows.collect()
-        }
 
     def known_of(known) -> dict[str, tuple[float, float, float]]:
         return {x["_key"]: (x["_freq"], x["_sure"], x["_seen"]) for x in known}
@@ -332,8 +322,20 @@ def split_packed(
     total = [F.sum(c).alias(c) for c in ("_freq", "_sure", "_seen")]
     freq = cut(counts.groupBy("_field", "_key").agg(*total))
     start = freq
+    base = {
+        r["_field"]: (r["s"], r["once"])
+        for r in start.groupBy("_field").agg(F.sum("_sure").alias("s"), F.count_if(F.col("_sure") == 1).alias("once")).collect()
+    }
+
+    def learned(unsure: dict[str, float], rates: dict[str, dict[str, float]]) -> dict[str, Model]:
+        """Models of the fields, from the uses that had to be guessed and the rates of the delimiter classes."""
+        return {
+            f: Model(s + (n := unsure.get(f, 0.0)), max(1.0, once), math.log(max(1 - s / (s + n + 1), 1e-3)), rates.get(f, {}))
+            for f, (s, once) in base.items()
+        }
+
+    models = learned({}, {})
     for _ in range(iterations):
-        models = learned(freq)
 
         def e_step(batches: Iterator[pd.DataFrame], models=models) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -351,14 +353,19 @@ def split_packed(
             .groupBy("_field", "_sort", "_key")
             .agg(F.sum("_freq").alias("_freq"), F.sum("_of").alias("_of"))
         )
-        rates = {f: {} for f in fields}
-        for r in soft.filter("_sort = 'd'").collect():
-            rates[r["_field"]][r["_key"]] = (r["_freq"] + 0.05) / (r["_of"] + 0.1)
+        rates: dict[str, dict[str, float]] = {f: {} for f in fields}
+        unsure: dict[str, float] = {}
+        mark = F.when(F.col("_sort") == "d", F.col("_key")).alias("k")
+        for r in soft.groupBy("_field", mark).agg(F.sum("_freq").alias("n"), F.sum("_of").alias("of")).collect():
+            if r["k"] is None:
+                unsure[r["_field"]] = r["n"]
+            else:
+                rates[r["_field"]][r["k"]] = (r["n"] + 0.05) / (r["of"] + 0.1)
+        models = learned(unsure, rates)
         found = soft.filter("_sort = 'v'").select(
             "_field", "_key", "_freq", none_yet.alias("_sure"), none_yet.alias("_seen")
         )
         freq = start.unionByName(found).groupBy("_field", "_key").agg(*total)
-    models = learned(freq)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
