@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.session import cut
+from rosterlake.session import cut, spread
 
 
 def pack_group(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ def pack(
 
         sharded = todo.join(F.broadcast(counts), "spec_id").withColumn("_shard", where).drop("_shards")
         sharded = sharded.select("spec_id", "capacity_tokens", "_id", "_piece", "_start", "_n", "_loss", "_shard")
-        return cut(sharded.groupBy("spec_id", "_shard").applyInPandas(packer, schema))
+        return cut(spread(sharded, "spec_id", "_shard").groupBy("spec_id", "_shard").applyInPandas(packer, schema))
 
     first = one_round(filled, "a")
     again = one_round(first.filter(F.col("_fill") < full_enough).drop("_container", "_fill"), "b")
