@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.session import cut
+from rosterlake.session import cut, spread
 
 EPS = 1e-9
 
@@ -111,7 +111,7 @@ def mix_sources(
     done: list[DataFrame] = []
     for level in range(levels + 1):
         last = level == levels
-        out = cut(todo.groupBy("mix_id", "source", "_shard").applyInPandas(meet(level, last), columns))
+        out = cut(spread(todo, "mix_id", "source", "_shard").groupBy("mix_id", "source", "_shard").applyInPandas(meet(level, last), columns))
         done.append(out.filter("_extra is not null"))
         todo = out.filter("_extra is null").drop("_extra").withColumn("_shard", (F.col("_shard") / fan_in).cast("int"))
     drawn = done[0]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.session import widen
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -48,4 +50,4 @@ def with_token_counts(
                 out[prompt_col] = lengths(first)
             yield out
 
-    return df.select(*[F.col(f"`{n}`") for n in names], text_col).mapInPandas(count, schema)
+    return widen(df.select(*[F.col(f"`{n}`") for n in names], text_col)).mapInPandas(count, schema)
