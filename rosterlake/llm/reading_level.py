@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.session import widen
+
 BREAK = re.compile(r"[.!?;:]+\s+|\n\s*(?:[-*•–]|\d{1,3}[.)])\s+|\n\s*\n")
 WORD = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
 
@@ -138,5 +140,6 @@ def reading_levels(
 
     text = F.col(text_col)
     pieces = F.size(F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " "))
-    return documents.filter(text.isNotNull() & (pieces >= min_words)).select(F.col(id_col), level(text).alias("reading_level"))
+    long = documents.select(id_col, text_col).filter(text.isNotNull() & (pieces >= min_words))
+    return widen(long).select(F.col(id_col), level(text).alias("reading_level"))
 
