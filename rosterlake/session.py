@@ -33,7 +33,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
-            if not context.master.startswith("local["):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = os.path.join(tempfile.gettempdir(), "rosterlake-checkpoints")
         context.setCheckpointDir(named)
