@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions.text import fold_name
+from rosterlake.session import cut, spread
 
 
 def name_index(firms: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def fuzzy_resolve(names: DataFrame, firms: DataFrame, accept: float = 0.88, marg
     right = index.select(F.col("key").alias("name"), "canonical", F.explode(grams("key")).alias("g"))
     pairs = left.join(right, "g").select("raw", "key", "name", "canonical").distinct()
     bound = 2 * F.least(F.length("key"), F.length("name")) / (F.length("key") + F.length("name"))
-    pairs = pairs.filter(bound >= accept - margin)
+    pairs = spread(pairs.filter(bound >= accept - margin), "raw")
     ranked = pairs.withColumn("ratio", ratio("key", "name")).withColumn(
         "r", F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("ratio"), F.desc("name")))
     )
@@ -119,6 +120,34 @@ def fuzzy_resolve(names: DataFrame, firms: DataFrame, accept: float = 0.88, marg
     )
 
 
+def resolve_fully(names: DataFrame, firms: DataFrame, raw: str = "firm") -> DataFrame:
+    """(raw, canonical, resolution) of distinct names through all tiers: those of :func:`resolve_names`, then similarity.
+
+    Similarity is asked for names that are unresolved, not for ambiguous ones; a name whose text before the first comma
+    is resolved by similarity is a division.
+    """
+    tiered = resolve_names(names, firms, raw).withColumn(
+        "head",
+        F.when(F.col("canonical").isNull() & F.contains("raw", F.lit(",")), F.trim(F.split_part("raw", F.lit(","), F.lit(1)))),
+    )
+    tiered = cut(tiered.withColumn("head", F.when(F.length("head") > 3, F.col("head"))))
+    heads = tiered.filter("head is not null").select(F.col("head").alias("firm"))
+    asked = resolve_names(heads, firms).unionByName(tiered.select("raw", "canonical", "resolution"))
+    alike = fuzzy_resolve(asked.filter("resolution = 'unresolved'").select(F.col("raw").alias("firm")), firms)
+    alike = cut(alike.filter("resolution <> 'unresolved'"))
+    whole = alike.select("raw", F.col("canonical").alias("alike"), F.col("resolution").alias("how"))
+    first = alike.filter("resolution = 'fuzzy'").select(F.col("raw").alias("head"), F.col("canonical").alias("of_head"))
+    both = tiered.join(first, "head", "left").join(whole, "raw", "left")
+    return both.select(
+        "raw",
+        F.coalesce("canonical", "of_head", F.when(F.col("resolution") == "unresolved", F.col("alike"))).alias("canonical"),
+        F.when(F.col("of_head").isNotNull(), "division")
+        .when(F.col("resolution") == "unresolved", F.coalesce("how", "resolution"))
+        .otherwise(F.col("resolution"))
+        .alias("resolution"),
+    )
+
+
 def lineage(firms: DataFrame) -> DataFrame:
     """(root, ancestor, lvl): the ancestors of every firm, nearest first; cycles end where they would repeat."""
     return firms.sparkSession.sql(

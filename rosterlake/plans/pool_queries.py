@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import layout as L
 from rosterlake.operators import pool as A
+from rosterlake.operators.resolve import resolve_fully
 from rosterlake.plans.common import SQL_ROLES, SQL_SECTORS, people, roles, sector_list
 from rosterlake.plans.search_queries import _MEET, _results
 from rosterlake.sources.export import cache_misses, flat_record
@@ -30,8 +31,10 @@ def top_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of every position whose firm is resolved as a whole (its SQL takes letter-for-letter names only)."""
     firms = table(spark, sf_dir, "firms")
-    m = roles(spark, sf_dir, "firm").join(firms.select("canonical"), F.col("firm") == F.col("canonical"))
+    p = roles(spark, sf_dir, "firm")
+    m = p.join(resolve_fully(p, firms).filter("resolution in ('exact', 'alias', 'fuzzy')"), F.col("firm") == F.col("raw"))
     return A.network_edges(m.select(F.col("candidate_id").alias("person"), "canonical"), firms)
 
 

@@ -53,13 +53,15 @@ def firm_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def platform_alumni(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platforms among the employers of a candidate and the owners of those, in order of first mention."""
+    """Platforms among the resolved employers of a candidate and the owners of those, in order of first mention (its SQL
+    takes letter-for-letter names only)."""
     firms = table(spark, sf_dir, "firms").select("canonical", "firm_type", "parent")
     own = firms.select(F.col("canonical").alias("root"), F.col("canonical").alias("ancestor"), F.lit(0).alias("lvl"))
     line = own.unionByName(R.lineage(firms)).join(firms, F.col("ancestor") == F.col("canonical")).filter(F.col("firm_type").isin(*PLATFORMS))
     line = line.select("root", "lvl", F.coalesce("parent", "ancestor").alias("platform"))
     work = roles(spark, sf_dir, "firm", "employment_type").filter("employment_type = 'professional'")
-    met = work.join(line, F.col("firm") == F.col("root")).groupBy("candidate_id", "platform").agg(F.min(F.struct("pos", "lvl")).alias("o"))
+    links = R.resolve_fully(work, table(spark, sf_dir, "firms")).filter("canonical is not null")
+    met = work.join(links, F.col("firm") == F.col("raw")).join(line, F.col("canonical") == F.col("root")).groupBy("candidate_id", "platform").agg(F.min(F.struct("pos", "lvl")).alias("o"))
     return met.groupBy("candidate_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "platform"))), lambda x: x["platform"]), "; ").alias("platforms")
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from rosterlake.functions import text as T
 from rosterlake.operators import checks as C
 from rosterlake.operators import resolve as R
+from rosterlake.plans.pool_queries import network_edges
+from rosterlake.plans.resolve_queries import platform_alumni
 from rosterlake.sources.documents import read_csv, read_records, scan_directory
 from rosterlake.sources.export import cache_misses, write_csv, write_json
 
@@ -73,6 +75,34 @@ def test_fuzzy_against_plain_python(spark):
         assert got.get(t, (None, "unresolved")) == want, t
 
 
+FIRM_ROWS = [("Delta Partners Ltd", ["DP Bank"], "pod_shop", "Omega Holdings"), ("Omega Holdings", None, "multi_strategy_platform", None), ("Northriver Stonebridge", None, "hedge_fund", None)]
+
+
+def test_resolve_fully(spark):
+    firms = spark.createDataFrame(FIRM_ROWS, "canonical string, aliases array<string>, firm_type string, parent string")
+    want = {
+        "Delta Partners Ltd": ("Delta Partners Ltd", "exact"), "delta partners": ("Delta Partners Ltd", "exact"), "DP Bank": ("Delta Partners Ltd", "alias"),
+        "Northriver Stonebrige": ("Northriver Stonebridge", "fuzzy"), "Northriver Stonebrige, Macro": ("Northriver Stonebridge", "division"),
+        "DP Bank, Risk Group": ("Delta Partners Ltd", "division"), "Nowhere, Else": (None, "unresolved"), "北方": (None, "unresolved"),
+    }
+    names = spark.createDataFrame([(n,) for n in [*want, None, " "]], "firm string")
+    rows = R.resolve_fully(names, firms).collect()
+    assert {r["raw"]: (r["canonical"], r["resolution"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_edges_and_platforms_of_resolved_names(spark, tmp_path):
+    firms = spark.createDataFrame(FIRM_ROWS, "canonical string, aliases array<string>, firm_type string, parent string")
+    firms.write.parquet(f"{tmp_path}/firms.parquet")
+    typed = ["Delta Partners Ltd", "DP BANK", "Omega Holdngs", "DP Bank, Risk Group", "Nowhere"]
+    rows = [(str(i), 0, n, "2020-01", "2021-01", False, "professional") for i, n in enumerate(typed)]
+    kind = "candidate_id string, pos int, firm string, start_date string, end_date string, is_current boolean, employment_type string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/positions.parquet")
+    edges = {(r["a"], r["b"]) for r in network_edges(spark, str(tmp_path)).collect()}
+    assert edges == {("0", "Delta Partners Ltd"), ("1", "Delta Partners Ltd"), ("2", "Omega Holdings"), ("Delta Partners Ltd", "Omega Holdings")}
+    platforms = {r["candidate_id"]: r["platforms"] for r in platform_alumni(spark, str(tmp_path)).collect()}
+    assert platforms == dict.fromkeys("0123", "Omega Holdings")
+
+
 def words_of(s):
     return {w for w in re.findall("[a-z]{4,}", s.lower()) if w not in T.FLAG_STOP_WORDS}
 
