@@ -21,6 +21,8 @@ FLAG_STOP_WORDS = [
     "would", "guess", "text", "source", "entry", "role", "roles", "position", "positions", "explain", "interval", "recorded",
 ]
 HONORIFICS = r"(?i)^((dr|mr|ms|mrs|prof)\.?\s+)+"
+# White space of all scripts; \s alone is that of ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def loose(text: Column) -> Column:
@@ -63,7 +65,7 @@ def display_name(name: Column) -> Column:
 def short_name(name: Column) -> Column:
     """The last word of a name that is neither an honorific nor bracketed."""
     words = F.filter(
-        F.split(F.trim(F.regexp_replace(name, HONORIFICS, "")), r"\s+"), lambda w: (w != "") & ~w.startswith("(")
+        F.split(F.trim(F.regexp_replace(name, HONORIFICS.replace(r"\s", SPACE), "")), SPACE + "+"), lambda w: (w != "") & ~w.startswith("(")
     )
     return F.try_element_at(words, F.lit(-1))
 

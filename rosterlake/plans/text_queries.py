@@ -45,8 +45,8 @@ def text_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_short_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = _people(spark, sf_dir).filter(F.col("name").rlike("^[ -~]*$"))
-    return ascii_only.select("candidate_id", T.short_name(F.col("name")).alias("short_name"))
+    """The short name of every candidate (its SQL takes names in ASCII only)."""
+    return _people(spark, sf_dir).select("candidate_id", T.short_name(F.col("name")).alias("short_name"))
 
 
 def text_label(spark: SparkSession, sf_dir: str) -> DataFrame:

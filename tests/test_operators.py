@@ -11,6 +11,7 @@ from rosterlake.operators import checks as C
 from rosterlake.operators import resolve as R
 from rosterlake.plans.pool_queries import network_edges
 from rosterlake.plans.resolve_queries import platform_alumni
+from rosterlake.plans.text_queries import text_short_name
 from rosterlake.sources.documents import read_csv, read_records, scan_directory
 from rosterlake.sources.export import cache_misses, write_csv, write_json
 
@@ -31,6 +32,17 @@ def test_loose(spark):
     assert one(spark, T.loose, None) is None
 
 
+def test_short_name_of_all_scripts(spark, small):
+    names = [
+        "José Núñez", "Иван Петров", "Ελένη Παππά", "王 小明", "王\u3000小明", "Dr. Zoë\u00a0Brontë", "Søren Ødegård (він)", "Li\u200b Na", "Ann\u2003Lee",
+        "Prof.\u00a0Dr. Łukasz Żak", "plain name",
+    ]
+    got = [r["v"] for r in spark.createDataFrame([(n,) for n in names], "t string").select(T.short_name(F.col("t")).alias("v")).collect()]
+    assert got == [[w for w in n.split() if not w.startswith("(")][-1] for n in names]
+    people = spark.read.parquet(f"{small}/candidates.parquet").select("candidate_id", "name", "source_file").distinct()
+    assert text_short_name(spark, small).count() == people.count()
+
+
 def test_lineage_with_cycle_and_self_loop(spark):
     rows = [("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x"), ("s", "s")]
     got = R.lineage(spark.createDataFrame(rows, "canonical string, parent string")).collect()
