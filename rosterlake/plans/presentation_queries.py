@@ -18,22 +18,23 @@ HELP = {"sector_fit": "Share of the wanted sectors.", "coverage_depth": "Names c
 
 
 def score_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of the score of the best exact result of every requisition."""
-    best = _results(spark, sf_dir).filter("result = 'exact' and rank = 1").select("requisition_id", "candidate_id")
-    rows = _meet(spark, sf_dir).join(best, ["requisition_id", "candidate_id"])
+    """The parts of the score of every exact result (its SQL takes the best of a requisition only)."""
+    exact = _results(spark, sf_dir).filter("result = 'exact'").select("requisition_id", "candidate_id")
+    rows = _meet(spark, sf_dir).join(exact, ["requisition_id", "candidate_id"])
     return V.ledger(rows, ["requisition_id", "candidate_id"], _parts())
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of every exact and near result (its SQL takes the first twenty of a requisition only)."""
     c = people(spark, sf_dir, "name", "location", "seniority_band")
-    rows = _results(spark, sf_dir).filter("rank <= 20").join(c, "candidate_id")
+    rows = _results(spark, sf_dir).join(c, "candidate_id")
     return rows.select("requisition_id", "candidate_id", "result", V.result_line([F.col("name"), F.col("location"), F.col("seniority_band")], F.col("gap")).alias("line"))
 
 
 def outreach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A letter for the best exact result of every requisition, quoting the requisition's summary."""
-    best = _results(spark, sf_dir).filter("result = 'exact' and rank = 1")
-    rows = best.join(people(spark, sf_dir, "name", "email"), "candidate_id").join(table(spark, sf_dir, "requisitions").select("requisition_id", "title", "summary"), "requisition_id")
+    """A letter for every exact result, quoting the requisition's summary (its SQL takes the best of a requisition only)."""
+    exact = _results(spark, sf_dir).filter("result = 'exact'")
+    rows = exact.join(people(spark, sf_dir, "name", "email"), "candidate_id").join(table(spark, sf_dir, "requisitions").select("requisition_id", "title", "summary"), "requisition_id")
     text = V.letter(F.col("name"), F.col("email"), F.concat(F.lit("exact match for "), F.col("title")), F.lit(""), F.col("summary"))
     return rows.select("requisition_id", "candidate_id", F.md5(text).alias("text_md5"))
 

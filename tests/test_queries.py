@@ -43,3 +43,14 @@ def test_match_invariants(spark, small):
     assert all((r["gap"] is None) == (r["result"] == "exact") and 0 <= r["score"] <= 1 for r in rows)
     total = next(r for r in entry.queries()["confusion_matrix"](spark, small).collect() if r["requisition_id"] is None)
     assert total["tp"] + total["fp"] + total["fn"] + total["tn"] == total["judged"]
+
+
+def test_presentation_of_all_results(spark, small):
+    def pairs(name):
+        return sorted((r["requisition_id"], r["candidate_id"]) for r in entry.queries()[name](spark, small).collect())
+
+    rows = entry.queries()["match_exact_near"](spark, small).collect()
+    exact = sorted((r["requisition_id"], r["candidate_id"]) for r in rows if r["result"] == "exact")
+    assert max(r["rank"] for r in rows) > 20
+    assert pairs("result_lines") == sorted((r["requisition_id"], r["candidate_id"]) for r in rows)
+    assert pairs("outreach_text") == exact and sorted(set(pairs("score_ledger"))) == sorted(set(exact))
