@@ -79,7 +79,8 @@ def fuzzy_resolve(names: DataFrame, firms: DataFrame, accept: float = 0.88, marg
 
     The best name of the list must reach ``accept``; if among the four best another firm's name comes within ``margin``,
     the result is ambiguous. Equal ratios pick the lexicographically greatest key. Names as alike as ``accept`` asks share
-    a run of letters, so candidates come from an equality join on pieces of the names.
+    a run of letters, so candidates come from an equality join on pieces of the names. Names without candidates are
+    unresolved as well; unresolved names have no ratio, as not all of the list was compared with them.
     """
     index = name_index(firms)
     raw = names.select(F.col("firm").alias("raw")).filter("raw is not null").distinct().withColumn("key", fold_name(F.col("raw")))
@@ -112,11 +113,12 @@ def fuzzy_resolve(names: DataFrame, firms: DataFrame, accept: float = 0.88, marg
         F.collect_list(F.struct("ratio", "canonical")).alias("four"),
     )
     close = F.size(F.array_distinct(F.transform(F.filter("four", lambda x: x["ratio"] > F.col("ratio") - margin), lambda x: x["canonical"])))
-    return top.select(
+    alike = F.coalesce(F.col("ratio") >= accept, F.lit(False))
+    return raw.join(top, "raw", "left").select(
         "raw",
-        F.when((F.col("ratio") >= accept) & (close == 1), F.col("best")).alias("canonical"),
-        F.when(F.col("ratio") < accept, "unresolved").when(close > 1, "ambiguous").otherwise("fuzzy").alias("resolution"),
-        "ratio",
+        F.when(alike & (close == 1), F.col("best")).alias("canonical"),
+        F.when(~alike, "unresolved").when(close > 1, "ambiguous").otherwise("fuzzy").alias("resolution"),
+        F.when(alike, F.col("ratio")).alias("ratio"),
     )
 
 

@@ -87,6 +87,17 @@ def test_fuzzy_against_plain_python(spark):
         assert got.get(t, (None, "unresolved")) == want, t
 
 
+def test_fuzzy_keeps_names_without_candidates(spark):
+    firms = spark.createDataFrame([("Northriver Stonebridge", None)], "canonical string, aliases array<string>")
+    names = ["Northriver Stonebrige", "Zorkbaster Skorkalt", "Hulkgysk, Hulkgon", "北方", "&", "Northriver"]
+    rows = R.fuzzy_resolve(spark.createDataFrame([(n,) for n in [*names, None]], "firm string"), firms).collect()
+    assert sorted(r["raw"] for r in rows) == sorted(names)
+    got = {r["raw"]: (r["canonical"], r["resolution"], r["ratio"]) for r in rows}
+    ratio = difflib.SequenceMatcher(None, "northriver stonebrige", "northriver stonebridge").ratio()
+    assert got.pop(names[0]) == ("Northriver Stonebridge", "fuzzy", ratio)
+    assert set(got.values()) == {(None, "unresolved", None)}
+
+
 FIRM_ROWS = [("Delta Partners Ltd", ["DP Bank"], "pod_shop", "Omega Holdings"), ("Omega Holdings", None, "multi_strategy_platform", None), ("Northriver Stonebridge", None, "hedge_fund", None)]
 
 
