@@ -1,114 +1,42 @@
 """Map freely typed values to the entries of a reference list, in Spark SQL only.
 
-Both sides get one folded form (lower case, no accents, no punctuation or spaces). Each reference entry is written out
-in the ways people write it (abbreviations, country names and codes, either order, its aliases). A partition-based
-pigeonhole join then finds every pair within ``EDITS`` edits: a reference form cut into EDITS + 1 segments must share
-one of them with the typed form at nearly the same place, so an equality join on (length, segment, substring) finds
-all candidates; the built-in ``levenshtein`` verifies them. Accepted are one edit, or two when they swap letters; in the
-lists of kinds (not of places, whose names resemble each other) also any two edits of a form of ten letters or more.
-What no entry answers is found by an anti-join and reported with value 0.
-
-Defined results: null and blank values give no row; a value equal to a canonical entry letter for letter gives none;
-among several entries at the same distance the fuller form, then the entry listed first wins; repeated records count
-once. The reference list is small and fixed (a curated list); typed values are deduplicated before anything is joined.
+Both sides get one folded form (lower case, no accents, no punctuation or spaces). The ways to write an entry are derived
+from the list itself: its aliases; shortenings of its words (leading letters, first and last letters, without vowels,
+initials); words left out, where no word of the entry recurs in other entries; and for entries "name, country" the
+country's names and codes in either order, from the locale data of the Java runtime (ISO 3166 and CLDR). The typed side is
+written out as well: without words that no entry uses or that stand in many values of the column, and, for entries whose words do not recur, without other words,
+without its last letters, or as a blend of the beginnings of its words. Each way has a cost.
+
+A partition-based pigeonhole join finds every pair within ``EDITS`` edits: a reference form cut into EDITS + 1 segments
+must share one of them with the typed form at nearly the same place, so an equality join on (length, segment, substring)
+finds all candidates; the built-in ``levenshtein`` verifies them, equal forms being those at distance 0. One rule accepts:
+an edit needs five letters, a second one ten more, and a swap of neighbours counts a little less than one. The cheapest way
+wins. Two more passes learn from the column: values still without an entry whose records, by their other fields, belong to
+one market in nearly all cases get the field's entry of that market; and what matched becomes a way to write its entry for
+values misspelt once more. What no entry answers is found by an anti-join and reported with value 0.
+
+Defined results: null and blank values give no row; a value equal to a canonical entry letter for letter gives none; among
+several entries at the same cost the one listed first wins; repeated records count once. The reference list is small and
+fixed (a curated list); typed values are deduplicated before anything is joined.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rosterlake.session import cut
 
 EDITS = 2
-
-# Country names with their codes and other ways to write them.
-COUNTRIES = {
-    "Australia": ["au", "aus"],
-    "Austria": ["at", "aut", "oesterreich"],
-    "Belgium": ["be", "bel", "belgique"],
-    "Brazil": ["br", "bra", "brasil"],
-    "Canada": ["ca", "can"],
-    "Chile": ["cl", "chl"],
-    "China": ["cn", "chn", "prc"],
-    "Colombia": ["co", "col"],
-    "Denmark": ["dk", "dnk", "danmark"],
-    "Ecuador": ["ec", "ecu"],
-    "Egypt": ["eg", "egy"],
-    "Finland": ["fi", "fin", "suomi"],
-    "France": ["fr", "fra"],
-    "Germany": ["de", "deu", "ger", "deutschland"],
-    "Greece": ["gr", "grc", "hellas"],
-    "Hong Kong": ["hk", "hkg"],
-    "India": ["in", "ind", "bharat"],
-    "Indonesia": ["id", "idn"],
-    "Ireland": ["ie", "irl", "eire"],
-    "Israel": ["il", "isr"],
-    "Italy": ["it", "ita", "italia"],
-    "Japan": ["jp", "jpn", "nippon"],
-    "Jordan": ["jo", "jor"],
-    "Kenya": ["ke", "ken"],
-    "Malaysia": ["my", "mys"],
-    "Mexico": ["mx", "mex"],
-    "Netherlands": ["nl", "nld", "holland", "the netherlands"],
-    "New Zealand": ["nz", "nzl", "aotearoa"],
-    "Nigeria": ["ng", "nga"],
-    "Norway": ["no", "nor", "norge"],
-    "Panama": ["pa", "pan"],
-    "Peru": ["pe", "per"],
-    "Poland": ["pl", "pol", "polska"],
-    "Portugal": ["pt", "prt"],
-    "Qatar": ["qa", "qat"],
-    "Saudi Arabia": ["sa", "sau", "ksa"],
-    "Singapore": ["sg", "sgp"],
-    "South Africa": ["za", "zaf", "rsa"],
-    "South Korea": ["kr", "kor", "korea"],
-    "Spain": ["es", "esp", "espana"],
-    "Sweden": ["se", "swe", "sverige"],
-    "Switzerland": ["ch", "che", "schweiz", "suisse"],
-    "Turkey": ["tr", "tur", "turkiye"],
-    "United Arab Emirates": ["ae", "are", "uae"],
-    "United Kingdom": ["uk", "gb", "gbr", "great britain", "britain", "england"],
-    "US": ["usa", "united states", "united states of america", "america"],
-    "Uruguay": ["uy", "ury"],
-    "Vietnam": ["vn", "vnm", "viet nam"],
-}
-# How the first word of a place name is shortened.
-PLACE_WORDS = {
-    "fort": ["ft"],
-    "lake": ["lk"],
-    "mount": ["mt", "mtn"],
-    "north": ["n", "nth", "no"],
-    "south": ["s", "sth", "so"],
-    "east": ["e"],
-    "west": ["w"],
-    "port": ["pt", "prt"],
-    "saint": ["st", "ste"],
-    "upper": ["up", "upr"],
-    "lower": ["lr", "lwr"],
-    "new": ["nw"],
-    "castle": ["cstl"],
-}
-# Other ways to write the entries of the region and firm-type lists (folded form -> ways).
-SYNONYMS = {
-    "us": ["usa", "united states", "united states of america", "america", "states", "the states", "north america"],
-    "europe": ["eu", "eur", "european", "european union", "western europe", "europe uk", "uk europe", "continental europe"],
-    "apac": ["asia pac", "asia pacific", "apac region", "a pac", "asia", "far east"],
-    "mea": ["middle east", "middle east and africa", "middle east africa", "mid east africa", "mid east and africa", "africa", "emea"],
-    "latam": ["lat am", "latin america", "lat america", "south and central america", "south central america", "south america", "central america"],
-    "podshop": ["pod", "trading pod", "pm pod", "pods"],
-    "multistrategyplatform": ["multi strat", "multi strategy", "multi manager platform", "multi manager", "platform"],
-    "hedgefund": ["hf", "hedge", "hedge fd", "hedge funds"],
-    "crossover": ["x over", "crossover fund", "crossovers"],
-    "longonly": ["l o", "lo manager", "long only mgr", "long only manager", "lo"],
-    "sellside": ["sell side broker", "broker", "brokerage", "sell side research", "broker dealer"],
-    "investmentbank": ["ib", "i bank", "inv bank", "investment banking", "ibank"],
-    "consulting": ["consultancy", "consultant", "consultants", "mgmt consulting", "management consulting", "consulting firm"],
-    "corporate": ["corp", "corporation", "corporates"],
-    "assetowner": ["ao", "asset owners"],
-    "academic": ["academia", "academics", "acad", "university academic", "university", "academe"],
-    "alternativemanager": ["alts manager", "alt manager", "alternatives mgr", "alternative mgr", "alternatives manager", "alts"],
+# Common English names of countries that the locale data does not have, by ISO 3166 code.
+MORE_NAMES = {
+    "GB": ["Great Britain", "Britain", "England"],
+    "US": ["United States of America"],
+    "NL": ["Holland"],
+    "KR": ["Korea"],
+    "HK": ["Hong Kong"],
 }
 
 
@@ -134,141 +62,261 @@ def _digraphs(column: str) -> str:
     return out
 
 
-def _rows(table: dict[str, list[str]]) -> str:
-    rows = [(k, v) for k, vs in table.items() for v in [k, *vs]]
-    return "VALUES " + ", ".join(f"('{k.lower()}', '{v.lower()}')" for k, v in rows)
+def country_ways(spark: SparkSession) -> DataFrame:
+    """(code, way, english): ISO codes, English names, names in the country's own languages and initials of every country, folded.
+
+    From java.util.Locale of the runtime: a fixed list of a few thousand short texts.
+    """
+    locale = spark._jvm.java.util.Locale
+    english = locale.forLanguageTag("en")
+    ways = []
+    for code in locale.getISOCountries():
+        here = locale.forLanguageTag(f"und-{code}")
+        name = here.getDisplayCountry(english)
+        initials = "".join(w[0] for w in name.split() if w[0].isupper())
+        ways += [(code, w, True) for w in (code, here.getISO3Country(), name, *([initials] if len(initials) > 1 else []), *MORE_NAMES.get(code, []))]
+    ways += [(x.getCountry(), x.getDisplayCountry(x), False) for x in locale.getAvailableLocales() if len(x.getCountry()) == 2]
+    frame = spark.createDataFrame(ways, "code string, name string, english boolean")
+    both = frame.select("code", F.expr(folded("name")).alias("way"), "english").union(frame.select("code", F.expr(folded(_digraphs("name"))), "english"))
+    return both.filter("way <> ''").groupBy("code", "way").agg(F.bool_or("english").alias("english"))
+
 
+VOWEL_FREE = "regexp_replace({0}, '(?<=.)[aeiou]', '')"
 
-def reference_forms(reference: DataFrame) -> DataFrame:
-    """(field_name, form, value_id, fullness): every way an entry may be written, without spaces."""
+
+def reference_forms(reference: DataFrame, ways: DataFrame) -> DataFrame:
+    """(field_name, form, value_id, cost, proper): every way an entry may be written, without spaces.
+
+    ``proper`` entries are names of places or share words with other entries: their words are only shortened where they
+    recur as first words (Port, Upper), and never left out.
+    """
     spark = reference.sparkSession
-    return spark.sql(
-        f"""
-        WITH country(name, way) AS ({_rows(COUNTRIES)}),
-        place(word, way) AS ({_rows(PLACE_WORDS)}),
-        synonym(entry, way) AS ({_rows(SYNONYMS)}),
-        entry AS (
-          SELECT field_name, value_id, canonical, coalesce(aliases, array()) AS aliases,
-                 field_name = 'location' AND canonical LIKE '%,%' AS placed FROM {{ref}} WHERE value_id IS NOT NULL),
+    bare = VOWEL_FREE.format("w")
+    thin = f"regexp_replace({bare}, r'(.)\\1', '$1')"
+    short = spark.sql(
+        rf"""
+        WITH entry AS (
+          SELECT r.field_name, r.value_id, r.canonical, coalesce(r.aliases, array()) AS aliases, p.code AS land, o.code AS own
+          FROM {{ref}} r
+          LEFT JOIN {{ways}} p ON r.canonical LIKE '%,%' AND {folded("split_part(r.canonical, ',', -1)")} = p.way
+          LEFT JOIN {{ways}} o ON {folded("r.canonical")} = o.way
+          WHERE r.value_id IS NOT NULL),
         head AS (
-          SELECT field_name, value_id, placed, 2 AS fullness, canonical AS text FROM entry WHERE NOT placed
-          UNION ALL SELECT field_name, value_id, placed, 2, split_part(canonical, ',', 1) FROM entry WHERE placed
-          UNION ALL SELECT field_name, value_id, placed, 1, explode(aliases) FROM entry),
+          SELECT field_name, value_id, land, 0 AS cost, CASE WHEN land IS NULL THEN canonical ELSE split_part(canonical, ',', 1) END AS text FROM entry
+          UNION ALL SELECT field_name, value_id, land, 0, explode(aliases) FROM entry
+          UNION ALL SELECT e.field_name, e.value_id, e.land, 1, w.way FROM entry e JOIN {{ways}} w ON e.own = w.code AND w.english AND length(w.way) > 2),
         spelt AS (
-          SELECT field_name, value_id, placed, fullness, {folded("text")} AS text FROM head
-          UNION SELECT field_name, value_id, placed, fullness, {folded(_digraphs("text"))} FROM head),
+          SELECT DISTINCT field_name, value_id, land, cost, split(text, ' ') AS ws FROM (
+            SELECT field_name, value_id, land, cost, {folded("text")} AS text FROM head
+            UNION ALL SELECT field_name, value_id, land, cost, {folded(_digraphs("text"))} FROM head) WHERE text <> ''),
+        word AS (SELECT field_name, value_id, w, i = 0 AND size(ws) > 1 AS opens FROM spelt LATERAL VIEW posexplode(ws) AS i, w),
+        shared AS (SELECT field_name, w, bool_or(opens) AS opens FROM word GROUP BY ALL HAVING count(DISTINCT value_id) > 1),
+        family AS (
+          SELECT s.*, s.land IS NOT NULL OR exists(s.ws, w -> array_contains(coalesce(f.ws, array()), w)) AS proper,
+                 coalesce(f.opens, array()) AS opens
+          FROM spelt s LEFT JOIN (SELECT field_name, collect_list(w) AS ws, collect_list(CASE WHEN opens THEN w END) AS opens FROM shared GROUP BY 1) f
+            ON s.field_name = f.field_name),
+        choice AS (
+          SELECT field_name, value_id, land, cost, proper, ws, transform(ws, (w, i) -> filter(flatten(array(
+            array(struct(w AS t, 0 AS c)),
+            CASE WHEN proper AND i = 0 AND size(ws) > 1 AND array_contains(opens, w) THEN
+              transform(array(left(w, 1), left(w, 2), {bare}, {thin}, left(w, 1) || right(w, 1), left(w, 1) || right(w, 2)), t -> struct(t, 1 AS c))
+            ELSE array() END,
+            CASE WHEN NOT proper AND length(w) > 3 THEN
+              transform(sequence(CASE WHEN size(ws) > 1 THEN 3 ELSE 2 END, length(w) - 1), n -> struct(left(w, n) AS t, CASE WHEN 5 * n >= 3 * length(w) THEN 1 ELSE 2 END AS c))
+            ELSE array() END,
+            CASE WHEN NOT proper THEN array(struct({bare} AS t, 1 AS c), struct(replace(w, 'cross', 'x') AS t, 1 AS c), struct(left(w, 1) || right(w, 1) AS t, 2 AS c))
+            ELSE array() END,
+            CASE WHEN NOT proper AND size(ws) > 1 THEN array(struct(left(w, 1) AS t, 2 AS c), struct('' AS t, 3 AS c)) ELSE array() END)),
+            x -> true)) AS options FROM family),
+        made AS (
+          SELECT field_name, value_id, land, proper, x.t AS form, cost + x.c AS cost FROM choice LATERAL VIEW explode(
+            aggregate(options, array(struct('' AS t, 0 AS c, 0 AS n)), (acc, o) -> flatten(transform(acc, a -> transform(o, b ->
+              struct(a.t || b.t AS t, a.c + b.c AS c, a.n + CASE WHEN b.t = '' THEN 0 ELSE 1 END AS n)))))) AS x
+          WHERE 2 * x.n >= size(ws)
+          UNION ALL
+          SELECT field_name, value_id, land, proper, array_join(transform(ws, w -> left(w, 1)), ''), cost + 1 FROM family WHERE NOT proper AND size(ws) > 1),
         short AS (
-          SELECT s.field_name, s.value_id, s.placed, s.fullness,
-                 CASE WHEN p.way IS NULL THEN s.text ELSE p.way || ' ' || substr(s.text, length(p.word) + 2) END AS text
-          FROM spelt s LEFT JOIN place p ON s.placed AND split_part(s.text, ' ', 1) = p.word AND s.text LIKE '% %'),
-        land AS (
-          SELECT DISTINCT e.field_name, e.value_id, {folded("c.way")} AS way
-          FROM entry e JOIN country c ON e.placed AND lower(trim(split_part(e.canonical, ',', -1))) = c.name
-          UNION SELECT field_name, value_id, {folded("split_part(canonical, ',', -1)")} FROM entry WHERE placed),
-        form AS (
-          SELECT field_name, value_id, fullness, text FROM short
-          UNION ALL SELECT s.field_name, s.value_id, s.fullness + 2, s.text || l.way
-            FROM short s JOIN land l ON s.field_name = l.field_name AND s.value_id = l.value_id
-          UNION ALL SELECT s.field_name, s.value_id, s.fullness + 2, l.way || s.text
-            FROM short s JOIN land l ON s.field_name = l.field_name AND s.value_id = l.value_id
-          UNION ALL SELECT e.field_name, e.value_id, 1, y.way
-            FROM entry e JOIN synonym y ON replace({folded("e.canonical")}, ' ', '') = y.entry AND NOT e.placed)
-        SELECT field_name, replace(text, ' ', '') AS form, value_id, max(fullness) AS fullness
-        FROM form WHERE text <> '' GROUP BY ALL
+          SELECT field_name, value_id, land, proper, form, min(cost) AS cost FROM made
+          WHERE length(form) > 2 OR length(form) = 2 AND cost <= 2 OR cost = 0 GROUP BY ALL)
+        SELECT * FROM short
         """,
         ref=reference,
+        ways=ways,
+    )
+    return spark.sql(
+        """
+        WITH form AS (
+          SELECT field_name, value_id, proper, form, cost FROM {short}
+          UNION ALL SELECT s.field_name, s.value_id, s.proper, s.form || replace(w.way, ' ', ''), s.cost FROM {short} s JOIN {ways} w ON s.land = w.code
+          UNION ALL SELECT s.field_name, s.value_id, s.proper, replace(w.way, ' ', '') || s.form, s.cost FROM {short} s JOIN {ways} w ON s.land = w.code)
+        SELECT field_name, form, value_id, min(cost) AS cost, bool_or(proper) AS proper FROM form WHERE form <> '' GROUP BY field_name, form, value_id
+        """,
+        short=cut(short),
+        ways=ways,
     )
 
 
-def typed_forms(typed: DataFrame) -> DataFrame:
-    """(field_name, value, form) of distinct typed values; for places, words around the name are taken off first."""
-    return typed.sparkSession.sql(
+def typed_forms(typed: DataFrame, reference: DataFrame, forms: DataFrame, ways: DataFrame) -> DataFrame:
+    """(field_name, value, form, cost, loose, lost, blend) of distinct typed values; see the module docstring.
+
+    ``loose`` forms may differ by edits, the others must be met exactly; ``lost`` forms lack a word that entries use, and
+    ``lost`` and ``blend`` forms only meet entries that are not proper. Numbers are no words of a value.
+    """
+    spark = typed.sparkSession
+    return spark.sql(
         rf"""
-        WITH folded AS (SELECT field_name, value, {folded("value")} AS text FROM {{typed}}),
-        bare AS (SELECT field_name, value, CASE WHEN field_name <> 'location' THEN text ELSE
-          regexp_replace(regexp_replace(text,
-            '^(?:near|based in|based near|city of|greater|outside|in|around) ', ''),
-            '(?: (?:open to move|open to relocation|metro area|area|metro|hybrid|remote|region|[0-9][0-9][0-9]+))+$', '')
-          END AS text FROM folded)
-        SELECT field_name, value, replace(text, ' ', '') AS form FROM bare
+        WITH entry AS (SELECT field_name, {folded("canonical")} AS text, {folded(_digraphs("canonical"))} AS twin, coalesce(aliases, array()) AS aliases FROM {{ref}}),
+        lands AS (
+          SELECT DISTINCT r.field_name, w.code FROM {{ref}} r JOIN {{ways}} w ON r.canonical LIKE '%,%' AND {folded("split_part(r.canonical, ',', -1)")} = w.way),
+        used AS (
+          SELECT DISTINCT field_name, explode(split(text, ' ')) AS w FROM (
+            SELECT field_name, text FROM entry UNION ALL SELECT field_name, twin FROM entry
+            UNION ALL SELECT field_name, {folded("alias")} FROM entry LATERAL VIEW explode(aliases) AS alias
+            UNION ALL SELECT f.field_name, w.way FROM {{ways}} w JOIN lands f ON w.code = f.code)),
+        noise AS (
+          SELECT t.field_name, t.w, true AS noise FROM (SELECT field_name, value, explode(array_distinct(split({folded("value")}, ' '))) AS w FROM {{typed}}) t
+          JOIN (SELECT field_name, count(*) AS n FROM {{typed}} GROUP BY 1) a ON t.field_name = a.field_name
+          LEFT ANTI JOIN used u ON t.field_name = u.field_name AND t.w = u.w
+          GROUP BY t.field_name, t.w, a.n HAVING count(*) >= greatest(4, 0.002 * a.n)),
+        kinds AS (SELECT DISTINCT field_name, true AS free FROM {{forms}} WHERE NOT proper),
+        told AS (
+          SELECT t.field_name, t.value, filter(split({folded("t.value")}, ' '), w -> w <> '' AND NOT w RLIKE '^[0-9]+$') AS ws, coalesce(k.free, false) AS free
+          FROM {{typed}} t LEFT JOIN kinds k ON t.field_name = k.field_name),
+        known AS (
+          SELECT o.field_name, o.value, any_value(o.ws) AS ws, any_value(o.free) AS free, collect_set(u.w) AS used,
+                 collect_set(CASE WHEN n.noise THEN o.w END) AS noise
+          FROM (SELECT *, explode(ws) AS w FROM told) o LEFT JOIN used u ON o.field_name = u.field_name AND o.w = u.w
+          LEFT JOIN noise n ON o.field_name = n.field_name AND o.w = n.w GROUP BY o.field_name, o.value),
+        part AS (
+          SELECT field_name, value, explode(CASE WHEN free AND size(ws) BETWEEN 2 AND 5 THEN
+            aggregate(ws, array(struct(cast(array() AS array<string>) AS k, 0 AS c, false AS l)), (acc, w) -> flatten(transform(acc, a -> array(
+              struct(array_append(a.k, w) AS k, a.c AS c, a.l AS l),
+              struct(a.k AS k, a.c + CASE WHEN array_contains(used, w) THEN 3 ELSE 1 END AS c, a.l OR array_contains(used, w) AS l)))))
+            ELSE array(struct(ws AS k, 0 AS c, false AS l)) END) AS x
+          FROM known
+          UNION ALL
+          SELECT field_name, value, explode(array(
+            struct(filter(ws, w -> array_contains(used, w)) AS k, 1 AS c, false AS l),
+            struct(filter(ws, (w, i) -> NOT array_contains(noise, w) AND NOT (i > 0 AND i < size(ws) - 1 AND w IN ('in', 'of', 'to', 'at', 'the'))) AS k, 1 AS c, false AS l)))
+          FROM known),
+        blends AS (
+          SELECT field_name, value, explode(aggregate(filter(ws, w -> NOT w IN ('and', 'of', 'the')), array(''),
+            (acc, w) -> flatten(transform(acc, a -> array(a || left(w, 1), a || left(w, 2), a || left(w, 3)))))) AS form
+          FROM known WHERE free AND size(filter(ws, w -> NOT w IN ('and', 'of', 'the'))) BETWEEN 2 AND 4),
+        stems AS (
+          SELECT field_name, value, left(ws[0], n) AS form, (length(ws[0]) - n + 1) div 2 AS cost
+          FROM known LATERAL VIEW explode(sequence(greatest(5, (3 * length(ws[0]) + 4) div 5), length(ws[0]) - 1)) AS n
+          WHERE free AND size(ws) = 1 AND length(ws[0]) BETWEEN 6 AND 40)
+        SELECT field_name, value, form, min(cost) AS cost, bool_or(loose) AS loose, bool_and(lost) AS lost, bool_and(blend) AS blend FROM (
+          SELECT field_name, value, array_join(x.k, '') AS form, x.c AS cost, x.c <= 1 AS loose, x.l AS lost, false AS blend FROM part WHERE size(x.k) > 0
+          UNION ALL SELECT field_name, value, form, 2, false, false, true FROM blends
+          UNION ALL SELECT field_name, value, form, cost, false, false, true FROM stems)
+        GROUP BY field_name, value, form
         """,
         typed=typed,
+        ref=reference,
+        forms=forms,
+        ways=ways,
     )
 
 
-def map_to_reference(records: DataFrame, id_col: str, fields: list[str], reference: DataFrame) -> DataFrame:
-    """(id, field_name, value_id) of every typed value that is not itself canonical; value_id 0 where none is meant."""
+def segment_join(typed: DataFrame, forms: DataFrame, most: int = 8) -> DataFrame:
+    """(field_name, value, value_id, cost) of every typed form and reference form near each other, at a cost of ``most`` or less."""
+    n = EDITS + 1
+    return typed.sparkSession.sql(
+        f"""
+        WITH segment AS (
+          SELECT f.*, length(form) AS len, s, (length(form) * s) div {n} + 1 AS at, (length(form) * (s + 1)) div {n} - (length(form) * s) div {n} AS width
+          FROM {{forms}} f LATERAL VIEW explode(sequence(0, {EDITS})) AS s),
+        piece AS (
+          SELECT DISTINCT t.*, l AS len, s, substr(form, p, (l * (s + 1)) div {n} - (l * s) div {n}) AS part
+          FROM {{typed}} t
+          LATERAL VIEW explode(CASE WHEN loose THEN sequence(greatest(1, length(form) - {EDITS}), length(form) + {EDITS}) ELSE array(length(form)) END) AS l
+          LATERAL VIEW explode(CASE WHEN loose THEN sequence(0, {EDITS}) ELSE array({EDITS}) END) AS s
+          LATERAL VIEW explode(CASE WHEN loose THEN sequence(greatest(1, (l * s) div {n} + 1 - {EDITS}), (l * s) div {n} + 1 + {EDITS}) ELSE array((l * s) div {n} + 1) END) AS p
+          WHERE (l * (s + 1)) div {n} > (l * s) div {n} AND p + (l * (s + 1)) div {n} - (l * s) div {n} - 1 <= length(form)),
+        pair AS (
+          SELECT DISTINCT p.field_name, p.value, p.form AS typed, p.cost AS tc, g.form, g.value_id, g.cost AS rc
+          FROM piece p JOIN segment g ON p.field_name = g.field_name AND p.len = g.len AND p.s = g.s AND p.part = substr(g.form, g.at, g.width)
+          WHERE (p.loose OR p.form = g.form) AND NOT (g.proper AND (p.lost OR p.blend))),
+        verified AS (SELECT *, levenshtein(typed, form, {EDITS}) AS edits FROM pair),
+        judged AS (
+          SELECT *, CASE WHEN edits = 2 AND length(form) = length(typed) AND array_sort(split(form, '')) = array_sort(split(typed, '')) THEN 0.8D ELSE edits END AS off
+          FROM verified WHERE edits >= 0)
+        SELECT field_name, value, value_id, min(cast(2 * off + 0.5 AS int) + tc + rc) AS cost FROM judged WHERE 10 * off <= length(form) + 5
+        GROUP BY ALL HAVING cost <= {most}
+        """,
+        typed=typed,
+        forms=forms,
+    )
+
+
+def map_to_reference(
+    records: DataFrame, id_col: str, fields: list[str], reference: DataFrame, agree: float = 0.85, witnesses: int = 8
+) -> DataFrame:
+    """(id, field_name, value_id) of every typed value that is not itself canonical; value_id 0 where none is meant.
+
+    ``agree``, ``witnesses``: a value is learned by its market if at least that share of at least that many records agree.
+    """
     spark = records.sparkSession
     stack = ", ".join(f"'{f}', cast({f} as string)" for f in fields)
-    cells = spark.sql(
+    whole = cut(spark.sql(
         f"""SELECT DISTINCT {id_col} AS id, field_name, value
             FROM (SELECT {id_col}, stack({len(fields)}, {stack}) AS (field_name, value) FROM {{records}})
             WHERE value RLIKE r'\\S' AND {id_col} IS NOT NULL""",
         records=records,
-    )
+    ))
     # Each table that several steps read is computed once; plans stay small for the driver.
-    cells = cut(
-        spark.sql(
-            """SELECT c.* FROM {cells} c LEFT ANTI JOIN {ref} r
-               ON c.field_name = r.field_name AND c.value = r.canonical""",
-            cells=cells,
-            ref=reference,
-        )
-    )
-    typed = cut(typed_forms(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells)))
-    forms = cut(reference_forms(reference))
-    exact = spark.sql(
-        """SELECT t.field_name, t.value, r.value_id, 0 AS edits, r.fullness
-           FROM {typed} t JOIN {forms} r ON t.field_name = r.field_name AND t.form = r.form""",
-        typed=typed,
-        forms=forms,
-    )
-    rest = spark.sql(
-        """SELECT t.* FROM {typed} t LEFT ANTI JOIN {forms} r ON t.field_name = r.field_name AND t.form = r.form
-           WHERE length(t.form) >= 3""",
-        typed=typed,
-        forms=forms,
+    cells = spark.sql(
+        "SELECT c.* FROM {cells} c LEFT ANTI JOIN {ref} r ON c.field_name = r.field_name AND c.value = r.canonical", cells=whole, ref=reference
     )
-    n = EDITS + 1
-    near = spark.sql(
+    distinct = cut(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells))
+    ways = cut(country_ways(spark))
+    forms = cut(reference_forms(reference, ways))
+    typed = cut(typed_forms(distinct, reference, forms, ways))
+    cheapest = "SELECT field_name, value, min(struct(cost, value_id)) AS b FROM {near} GROUP BY field_name, value"
+    first = cut(spark.sql(f"SELECT field_name, value, b.value_id, b.cost FROM ({cheapest})", near=segment_join(typed, forms)))
+
+    # Markets of the records by their other fields teach values that no way of writing answers.
+    taught = spark.sql(
         f"""
-        WITH segment AS (
-          SELECT field_name, form, value_id, fullness, length(form) AS len, s,
-                 (length(form) * s) div {n} + 1 AS at,
-                 (length(form) * (s + 1)) div {n} - (length(form) * s) div {n} AS width
-          FROM {{forms}} LATERAL VIEW explode(sequence(0, {EDITS})) AS s WHERE length(form) >= 4),
-        piece AS (
-          SELECT DISTINCT field_name, value, form, l AS len, s, p, substr(form, p, (l * (s + 1)) div {n} - (l * s) div {n}) AS part
-          FROM {{rest}}
-          LATERAL VIEW explode(sequence(greatest(4, length(form) - {EDITS}), length(form) + {EDITS})) AS l
-          LATERAL VIEW explode(sequence(0, {EDITS})) AS s
-          LATERAL VIEW explode(sequence(greatest(1, (l * s) div {n} + 1 - {EDITS}), (l * s) div {n} + 1 + {EDITS})) AS p
-          WHERE p + (l * (s + 1)) div {n} - (l * s) div {n} - 1 <= length(form)),
-        pair AS (
-          SELECT DISTINCT p.field_name, p.value, p.form AS typed, g.form, g.value_id, g.fullness
-          FROM piece p JOIN segment g ON p.field_name = g.field_name AND p.len = g.len AND p.s = g.s
-            AND p.part = substr(g.form, g.at, g.width)),
-        verified AS (
-          SELECT *, levenshtein(typed, form, {EDITS}) AS edits FROM pair)
-        SELECT field_name, value, value_id, edits, fullness FROM verified
-        WHERE edits = 1 AND length(form) > 4
-           OR edits = 2 AND length(form) = length(typed)
-              AND array_sort(split(form, '')) = array_sort(split(typed, ''))
-           OR edits = 2 AND field_name <> 'location' AND length(form) >= 10
+        WITH entry AS (SELECT field_name, value_id, canonical, market FROM {{ref}} WHERE market IS NOT NULL),
+        one AS (SELECT field_name, market, min(value_id) AS value_id FROM entry GROUP BY ALL HAVING count(*) = 1),
+        placed AS (
+          SELECT c.id, c.field_name, e.market FROM {{cells}} c JOIN {{first}} f ON c.field_name = f.field_name AND c.value = f.value JOIN entry e ON f.value_id = e.value_id
+          UNION SELECT c.id, c.field_name, e.market FROM {{whole}} c JOIN entry e ON c.field_name = e.field_name AND c.value = e.canonical),
+        open AS (
+          SELECT c.id, c.field_name, c.value, {folded("c.value")} AS text FROM {{cells}} c LEFT ANTI JOIN {{first}} f ON c.field_name = f.field_name AND c.value = f.value
+          WHERE c.field_name IN (SELECT field_name FROM one)),
+        seen AS (
+          SELECT o.field_name, o.text, p.market, count(*) AS n FROM open o JOIN placed p ON o.id = p.id AND o.field_name <> p.field_name WHERE o.text <> '' GROUP BY ALL),
+        clear AS (SELECT field_name, text, max_by(market, n) AS market FROM seen GROUP BY ALL HAVING sum(n) >= {witnesses} AND max(n) >= {agree} * sum(n))
+        SELECT DISTINCT o.field_name, o.value, one.value_id, 9 AS cost FROM open o JOIN clear c ON o.field_name = c.field_name AND o.text = c.text
+        JOIN one ON one.field_name = c.field_name AND one.market = c.market
         """,
-        forms=forms,
-        rest=rest,
-    )
-    best = cut(spark.sql(
-        """SELECT field_name, value, min(struct(edits, -fullness, value_id)).value_id AS value_id
-           FROM (SELECT * FROM {exact} UNION ALL SELECT * FROM {near}) GROUP BY field_name, value""",
-        exact=exact,
-        near=near,
-    ))
+        cells=cells, whole=whole, first=first, ref=reference,
+    )
+    found = cut(spark.sql("SELECT * FROM {first} UNION ALL SELECT * FROM {taught}", first=first, taught=taught))
+
+    # What often matched is a way to write its entry, for values misspelt once more.
+    learned = spark.sql(
+        f"""SELECT f.field_name, replace({folded("f.value")}, ' ', '') AS form, min(f.value_id) AS value_id, 1 AS cost, false AS proper
+            FROM {{found}} f JOIN {{cells}} c ON f.field_name = c.field_name AND f.value = c.value
+            JOIN (SELECT DISTINCT field_name FROM {{forms}} WHERE NOT proper) k ON f.field_name = k.field_name
+            GROUP BY 1, 2 HAVING count(DISTINCT f.value_id) = 1 AND count(*) >= {witnesses}""",
+        found=found, cells=cells, forms=forms,
+    )
+    again = segment_join(typed.filter("loose"), cut(learned))
+    best = spark.sql(
+        f"SELECT field_name, value, b.value_id FROM ({cheapest.replace('{near}', '(SELECT * FROM {found} UNION ALL SELECT * FROM {again})')})",
+        found=found.select("field_name", "value", "value_id", "cost"), again=again,
+    )
+    best = cut(best)
     unmatched = spark.sql(
         """SELECT t.field_name, t.value, 0L AS value_id FROM {typed} t
            LEFT ANTI JOIN {best} b ON t.field_name = b.field_name AND t.value = b.value""",
-        typed=typed,
+        typed=distinct,
         best=best,
     )
     return spark.sql(
