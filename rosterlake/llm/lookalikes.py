@@ -1,14 +1,16 @@
 """One consistent form for texts that look alike but differ in their characters.
 
-Every value is first brought to normal width, composed accents, ordinary hyphens and single spaces, without invisible
-characters, by character tables. What is left are words that mix scripts or stand in a script foreign to the value.
-For those a vocabulary trie, built from the words of the column that are plain already, is traversed with a weighted
-edit automaton in which look-alike letters and ignorable characters cost nothing; among the spellings within the
-budget (0: misspellings stay as they are) the one in the script of the word, then the most frequent, is taken. Words
-without such a spelling are normalised letter by letter with the look-alike table.
-
-The vocabulary is sharded by the look-alike skeleton of its words, so no task holds all of it and nothing grows on the
-driver; only words that share a shard with a suspicious word are kept.
+A vocabulary trie, built from the words of the column that are plain already, is traversed with a weighted edit automaton
+over the raw words of the others. Look-alike letters of other scripts, other widths, ligatures, accents written apart and
+ignorable characters cost nothing; a letter foreign to the word's script that no table knows as a look-alike costs half;
+any other edit costs one. Within the budget (a half: one unknown look-alike; misspellings stay as they are) the cheapest
+spelling in the script of the word is taken, then the most frequent; one that costs something must also be the only one
+at its cost and be used ``margin`` times or more. Words without such a spelling are normalised letter by letter with the
+character tables, and so is what stands between words.
+
+The vocabulary is sharded by length and by the look-alike classes of the first two or the last two letters of a word, a
+looser key than the word itself, so that an unknown letter leaves one key intact; no task holds all of the vocabulary, and
+only words that share a key with an odd word are kept.
 
 Defined results: null and blank values give no row; values that are plain already give none; letter case, accents and
 misspellings stay; repeated records count once; a text of only invisible characters has an empty plain form.
@@ -16,7 +18,6 @@ misspellings stay; repeated records count once; a text of only invisible charact
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -28,19 +29,18 @@ from pyspark.sql import functions as F
 
 from rosterlake.session import cut
 
-# Letters that look alike, as Latin, Cyrillic and Greek ("-" where the script has none).
+# Fixed values, of the Unicode confusables data (UTS 39): letters that look alike, as Latin, Cyrillic and Greek ("-" where the script has none).
 LOOKALIKES = """
 a а -   c с -   d ԁ -   e е -   h һ -   i і -   j ј -   o о ο   p р -   q ԛ -   s ѕ -   v ѵ ν   w ԝ -   x х -   y у -
 A А Α   B В Β   C С -   E Е Ε   H Н Η   I І Ι   J Ј -   K К Κ   M М Μ   N - Ν   O О Ο   P Р Ρ   S Ѕ -   T Т Τ   X Х Χ
 Y У Υ   Z - Ζ   Q Ԛ -   W Ԝ -
 """
-# Look-alikes from elsewhere, with the Latin letter they stand for.
+# Fixed values, of the same data: look-alikes from elsewhere, with the Latin letter they stand for.
 STRAYS = dict(
-    zip("ɑ ɡ օ ս հ ո զ ց ḷ ꞵ ᴏ ᴠ ᴡ ᴢ ᴄ ꜱ ӏ Ӏ ա".split(), "a g o u h n q g l b o v w z c s l I w".split())
+    zip("ɑ ɡ օ ս հ ո զ ց ꞵ ᴏ ᴠ ᴡ ᴢ ᴄ ꜱ ӏ Ӏ ա".split(), "a g o u h n q g b o v w z c s l I w".split())
 )
 HYPHENS = dict.fromkeys("‐‑‒–—―−﹣－⁃", "-")
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
-WORD = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_]*)*")
 EXPANDED = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>"}
 
 
@@ -102,6 +102,20 @@ def surface(text: str) -> str:
     return " ".join(unicodedata.normalize("NFC", text).split())
 
 
+def pieces(text: str) -> list[tuple[str, bool]]:
+    """(text, whether it is a word) of every run of letters, with their marks and ignorables, and of every run between."""
+    out: list[tuple[str, bool]] = []
+    run, word = "", False
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        inside = kind == "L" or word and (kind == "M" or ignorable(c))
+        if inside != word and run:
+            out.append((run, word))
+            run = ""
+        run, word = run + c, inside
+    return [*out, (run, word)] if run else out
+
+
 def anchors(word: str) -> Counter:
     """Letters of a word, by script, that no other script has a look-alike of."""
     return Counter(s for c in unicodedata.normalize("NFD", word) if c not in CLASS and (s := script_of(c)) in SCRIPTS)
@@ -115,9 +129,10 @@ def context_script(text: str) -> str:
 
 def suspicious(word: str, context: str) -> bool:
     """Whether a word mixes scripts, holds stray letters, or stands unanchored in a script foreign to its text."""
-    found = {s for c in unicodedata.normalize("NFD", word) if (s := script_of(c))}
-    if "OTHER" in found:
-        return False
+    scripts = [s for c in unicodedata.normalize("NFD", word) if (s := script_of(c))]
+    found = set(scripts)
+    if "OTHER" in found:  # a few letters of a further script among those of the three may be unknown look-alikes
+        return 2 * scripts.count("OTHER") < len(scripts)
     return len(found) > 1 or "STRAY" in found or bool(found) and not anchors(word) and found != {context}
 
 
@@ -138,9 +153,13 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = (word, node.get("", (word, 0))[1] + count)
 
-    def spellings(self, word: str, budget: float = 0.0, other: float = 1.0) -> list[tuple[float, int, str]]:
-        """(cost, frequency, word) of vocabulary words reachable within the budget; look-alikes and ignorables are free."""
-        text = unicodedata.normalize("NFD", word)
+    def spellings(self, word: str, budget: float = 0.0, other: float = 1.0, unknown: float = 0.5) -> list[tuple[float, int, str]]:
+        """(cost, frequency, word) of vocabulary words reachable within the budget; look-alikes and ignorables are free.
+
+        ``unknown`` is the cost of a letter of another script than most of the word that has no look-alike in the tables.
+        """
+        text = [c for raw in word for e in ("" if ignorable(raw) else _expand(raw)) for c in unicodedata.normalize("NFD", e)]
+        own = word_script("".join(text), "LATIN")
         todo: list[tuple[dict, int, float]] = [(self.root, 0, 0.0)]
         best: dict[str, tuple[float, int]] = {}
         while todo:
@@ -150,16 +169,15 @@ class Trie:
                     w, n = node[""]
                     if w not in best or cost < best[w][0]:
                         best[w] = (cost, n)
-            elif ignorable(text[i]):
-                todo.append((node, i + 1, cost))
-                continue
             else:
                 klass = CLASS.get(text[i], text[i])
+                strange = klass == text[i] and script_of(text[i]) not in (own, "") and text[i] not in CLASS
+                price = unknown if strange else other
                 for c, child in node.items():
                     if c and CLASS.get(c, c) == klass:
                         todo.append((child, i + 1, cost))
-                    elif c and cost + other <= budget:
-                        todo.append((child, i + 1, cost + other))
+                    elif c and cost + price <= budget:
+                        todo.append((child, i + 1, cost + price))
                 if cost + other <= budget:
                     todo.append((node, i + 1, cost + other))
             if cost + other <= budget:
@@ -167,6 +185,12 @@ class Trie:
         return [(cost, n, w) for w, (cost, n) in best.items()]
 
 
+def block_keys(word: str) -> list[str]:
+    """The keys under which words that may be spellings of each other meet."""
+    s = skeleton(word)
+    return sorted({f"{len(s)}^{s[:2]}", f"{len(s)}{s[-2:]}$"})
+
+
 def word_script(word: str, context: str) -> str:
     """The script a word is written in: of its anchored letters, else of its text."""
     count = anchors(word)
@@ -182,13 +206,21 @@ def by_table(word: str, script: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def choose(word: str, script: str, trie: Trie) -> str:
-    """The canonical spelling of a suspicious word."""
-    found = [(cost, -n, w) for cost, n, w in trie.spellings(word) if word_script(w, script) == script]
-    return unicodedata.normalize("NFC", min(found)[2]) if found else by_table(word, script)
+def choose(word: str, context: str, trie: Trie, budget: float = 0.5, margin: int = 2) -> tuple[float, int, str] | None:
+    """(cost, frequency, spelling) of the canonical spelling of an odd word, if the vocabulary has one."""
+    script = word_script(surface(word), context)
+    found = [(cost, -n, w) for cost, n, w in trie.spellings(word, budget) if word_script(w, script) == script]
+    if not found:
+        return None
+    cost, n, w = min(found)
+    if cost > 0 and (-n < margin or sum(c == cost for c, _, _ in found) > 1):
+        return None
+    return cost, -n, unicodedata.normalize("NFC", w)
 
 
-def plain_forms(records: DataFrame, id_col: str, fields: list[str], words_per_shard: int = 20_000) -> DataFrame:
+def plain_forms(
+    records: DataFrame, id_col: str, fields: list[str], words_per_shard: int = 20_000, budget: float = 0.5, margin: int = 2
+) -> DataFrame:
     """(id, field_name, plain) of every value of ``fields`` that differs from its plain form."""
     pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])
     cells = (
@@ -202,63 +234,75 @@ def plain_forms(records: DataFrame, id_col: str, fields: list[str], words_per_sh
         for pdf in batches:
             rows = []
             for value, n in zip(pdf["_value"], pdf["_n"]):
-                flat = surface(value)
-                ctx = context_script(flat)
-                ws = [(w, ctx) for w in WORD.findall(flat)]
-                odd = [x for x in ws if suspicious(*x)]
-                rows.append((value, flat, ctx, [w for w, _ in odd], [w for w, c in ws if not suspicious(w, c)], n))
-            yield pd.DataFrame(rows, columns=["_value", "_flat", "_ctx", "_odd", "_good", "_n"])
+                ctx = context_script(surface(value))
+                odd, good = [], []
+                for w, word in pieces(value):
+                    if word:
+                        flat = surface(w)
+                        (odd if flat != w or suspicious(flat, ctx) else good).append(w)
+                rows.append((value, ctx, odd, good, n))
+            yield pd.DataFrame(rows, columns=["_value", "_ctx", "_odd", "_good", "_n"])
 
     values = cut(
         cells.groupBy("_value")
         .agg(F.count("*").alias("_n"))
-        .mapInPandas(
-            words_of, "_value string, _flat string, _ctx string, _odd array<string>, _good array<string>, _n long"
-        )
+        .mapInPandas(words_of, "_value string, _ctx string, _odd array<string>, _good array<string>, _n long")
     )
     odd = values.select("_ctx", F.explode("_odd").alias("_word")).distinct()
     good = values.select(F.explode("_good").alias("_word"), "_n").groupBy("_word").agg(F.sum("_n").alias("_n"))
 
-    @F.pandas_udf("string")
-    def skeletons(words: pd.Series) -> pd.Series:
-        return words.map(skeleton)
+    @F.pandas_udf("array<string>")
+    def keys(words: pd.Series) -> pd.Series:
+        return words.map(block_keys)
 
-    odd = cut(odd.withColumn("_skeleton", skeletons("_word")))
-    good = good.withColumn("_skeleton", skeletons("_word")).join(odd.select("_skeleton").distinct(), "_skeleton", "left_semi")
+    odd = cut(odd.withColumn("_key", F.explode(keys("_word"))))
+    good = good.withColumn("_key", F.explode(keys("_word"))).join(odd.select("_key").distinct(), "_key", "left_semi")
     shards = odd.count() // words_per_shard + 1
-    shard = F.pmod(F.xxhash64("_skeleton"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("_key"), F.lit(shards))
 
     def spell(odd_words: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie()
-        for w, n in zip(vocabulary["_word"], vocabulary["_n"]):
-            trie.add(w, int(n))
-        out = [choose(w, word_script(w, c), trie) for w, c in zip(odd_words["_word"], odd_words["_ctx"])]
-        return pd.DataFrame({"_word": odd_words["_word"], "_ctx": odd_words["_ctx"], "_to": out})
+        tries: dict[str, Trie] = {}
+        for w, n, k in zip(vocabulary["_word"], vocabulary["_n"], vocabulary["_key"]):
+            tries.setdefault(k, Trie()).add(w, int(n))
+        rows = []
+        for w, c, k in zip(odd_words["_word"], odd_words["_ctx"], odd_words["_key"]):
+            if k in tries and (found := choose(w, c, tries[k], budget, margin)):
+                rows.append((w, c, *found))
+        return pd.DataFrame(rows, columns=["_word", "_ctx", "_cost", "_freq", "_to"])
 
     spelt = (
         odd.withColumn("_shard", shard)
         .groupBy("_shard")
         .cogroup(good.withColumn("_shard", shard).groupBy("_shard"))
-        .applyInPandas(spell, "_word string, _ctx string, _to string")
+        .applyInPandas(spell, "_word string, _ctx string, _cost double, _freq long, _to string")
+        .groupBy("_word", "_ctx")
+        .agg(F.min_by("_to", F.struct("_cost", -F.col("_freq"), "_to")).alias("_to"))
     )
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for flat, to in zip(pdf["_flat"], pdf["_map"]):
-                m = {x["_word"]: x["_to"] for x in to} if to is not None else {}
-                out.append(WORD.sub(lambda x, m=m: m.get(x.group(), x.group()), flat))
+            for value, ctx, to in zip(pdf["_value"], pdf["_ctx"], pdf["_map"]):
+                known = {x["_word"]: x["_to"] for x in to if x["_to"] is not None}
+                text = []
+                for w, word in pieces(value):
+                    flat = surface(w) if word else w
+                    if word and w in known:
+                        flat = known[w]
+                    elif word and suspicious(flat, ctx):
+                        flat = by_table(flat, word_script(flat, ctx))
+                    text.append(flat)
+                out.append(surface("".join(text)))
             yield pd.DataFrame({"_value": pdf["_value"], "_plain": out})
 
-    mixed = (
-        values.select("_value", "_flat", "_ctx", F.explode(F.array_distinct("_odd")).alias("_word"))
-        .join(spelt, ["_word", "_ctx"])
-        .groupBy("_value", "_flat")
+    mapped = (
+        values.select("_value", "_ctx", F.explode_outer(F.array_distinct("_odd")).alias("_word"))
+        .join(spelt, ["_word", "_ctx"], "left")
+        .groupBy("_value", "_ctx")
         .agg(F.collect_list(F.struct("_word", "_to")).alias("_map"))
         .mapInPandas(rewrite, "_value string, _plain string")
     )
-    straight = values.filter(F.size("_odd") == 0).select("_value", F.col("_flat").alias("_plain"))
-    changed = straight.unionByName(mixed).filter("_plain <> _value")
+    changed = mapped.filter("_plain <> _value")
     return cells.join(changed, "_value").select(
         F.col("_id").alias(id_col), F.col("_field").alias("field_name"), F.col("_plain").alias("plain")
     )
