@@ -51,7 +51,7 @@ def test_keys_are_looser_than_words():
 def test_plain_forms(spark):
     rows = [
         ("a", "Hugo Maren", 1), ("b", "Нugо Maren", 1), ("b", "Нugо Maren", 1), ("c", "Мирон Скала", 1), ("d", "Mирoн Скала", 1), ("e", "Jonas Н. Weber", 1),
-        ("k", "HuᏀo Maren", 1), ("l", "王Ab 书", 1), ("f", None, 1), ("g", " ", 1), ("h", "Anna  Weber ", 1), ("i", "王书宁", 1), (None, "Ａ", 1), ("j", "Ｘ" * 3000, 1),
+        ("k", "HuᏀo Maren", 1), ("m", "Hugo Skala", 1), ("l", "王Ab 书", 1), ("f", None, 1), ("g", " ", 1), ("h", "Anna  Weber ", 1), ("i", "王书宁", 1), (None, "Ａ", 1), ("j", "Ｘ" * 3000, 1),
     ]
     df = spark.createDataFrame(rows, "candidate_id string, name string, plain int")
     got = {r["candidate_id"]: r["plain"] for r in plain_forms(df, "candidate_id", ["name"]).collect()}
