@@ -3,8 +3,8 @@
 For each mix the total is the largest that no source's cap forbids: min over sources of cap * tokens / share. Every
 record of a source then has the same expected number of copies; its whole part is taken outright and its fraction is
 decided by pivotal dependent rounding: two fractions meet, mass moves at random from one to the other until one is
-integral, the other goes on to meet the next. Records meet from the largest to the smallest, so that little size moves with the mass,
-and of ``tries`` random roundings of a shard the one whose size comes nearest to its expectation is kept.
+integral, the other goes on to meet the next. Records meet from the largest to the smallest, so that little size moves with the mass
+and the size drawn stays near its expectation; one rounding decides, so every record keeps the probability that is set.
 Each shard leaves one undecided record; these residuals meet in turn in a reduction tree of bounded fan-in.
 
 Defined results: records of no known source, of no tokens, or of sources a mix does not name are not drawn; a named
@@ -60,7 +60,7 @@ def _expected(records: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    records: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 17, shard_records: int = 8192, fan_in: int = 32, tries: int = 16
+    records: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 17, shard_records: int = 8192, fan_in: int = 32
 ) -> DataFrame:
     """(mix_id, source, id, n_tokens, copies) of every record drawn at least once.
 
@@ -80,7 +80,7 @@ def mix_sources(
     levels, widest = 0, plan.agg(F.max("_shards")).first()[0] or 0
     while fan_in**levels < widest:
         levels += 1
-    units = rows.join(F.broadcast(plan), "source")
+    units = rows.join(plan, "source")
     sharded = units.withColumn("_shard", F.pmod(F.xxhash64("_id", "n_tokens"), F.col("_shards")).cast("int"))
     columns = "mix_id long, source string, _id long, n_tokens long, _base int, _p double, _shard int, _extra int"
 
@@ -88,19 +88,11 @@ def mix_sources(
         def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["n_tokens", "_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
             rng = np.random.default_rng([seed, level, *(zlib.crc32(str(k).encode()) for k in key)])
-            p, size = pdf["_p"].to_numpy(float).copy(), pdf["n_tokens"].to_numpy(float)
-            due, best = float(p @ size), None
-            for _ in range(tries):
-                taken, open_at, rest = pivotal(p, rng)
-                extra = taken.astype(float)
-                if open_at >= 0 and last:
-                    extra[open_at] = float(rng.random() < rest)
-                off = abs(float(extra @ size) + (rest * size[open_at] if open_at >= 0 and not last else 0.0) - due)
-                if best is None or off < best[0]:
-                    best = off, extra, open_at, rest
-            _, extra, open_at, rest = best
-            if open_at >= 0 and not last:
-                extra[open_at], p[open_at] = np.nan, rest
+            p = pdf["_p"].to_numpy(float).copy()
+            taken, open_at, rest = pivotal(p, rng)
+            extra = taken.astype(float)
+            if open_at >= 0:
+                extra[open_at], p[open_at] = (float(rng.random() < rest), p[open_at]) if last else (np.nan, rest)
             pdf["_p"] = p
             pdf["_extra"] = pd.array([None if np.isnan(e) else int(e) for e in extra], dtype="Int32")
             return pdf[["mix_id", "source", "_id", "n_tokens", "_base", "_p", "_shard", "_extra"]]

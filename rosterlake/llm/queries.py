@@ -8,7 +8,7 @@ from rosterlake.llm.canonical import map_to_reference
 from rosterlake.llm.lookalikes import plain_forms
 from rosterlake.llm.mixing import mix_shares, mix_sources
 from rosterlake.llm.name_links import name_pairs
-from rosterlake.llm.packing import pack, packing_report
+from rosterlake.llm.packing import near_mean_limits, pack, packing_report
 from rosterlake.llm.reading_level import reading_levels
 from rosterlake.llm.tokens import TOKENIZER, with_token_counts
 from rosterlake.session import cut, table
@@ -30,16 +30,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_forms(table(spark, sf_dir, "candidates"), "candidate_id", ["name", "current_firm"])
 
 
-def p6_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The container of every piece of every document, for each packing spec."""
+def _sized(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "doc_type", "text")
-    sized = with_token_counts(documents, tokenizer=tokenizer, prompt_col="n_prompt")
-    return pack(sized, table(spark, sf_dir, "pack_specs"))
+    return cut(with_token_counts(documents, tokenizer=tokenizer, prompt_col="n_prompt"))
+
+
+def p6_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The container of every piece of every document, for each packing spec, under limits near what the mean holds."""
+    sized = _sized(spark, sf_dir, tokenizer)
+    return pack(sized, near_mean_limits(sized, table(spark, sf_dir, "pack_specs")))
 
 
-def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers of each packing spec are."""
-    return packing_report(p6_packing(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+def p6_fill(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """How full the containers of each packing spec are, and how far each limit is used."""
+    sized = _sized(spark, sf_dir, tokenizer)
+    limits = cut(near_mean_limits(sized, table(spark, sf_dir, "pack_specs")))
+    return packing_report(pack(sized, limits), limits)
 
 
 def _drawn(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:

@@ -37,3 +37,18 @@ def test_mixture(spark):
     assert len(got) == len(set(got)) and not set(got) & {9001, 9002, 9003}
     assert drawn.count() == mix_sources(df, targets, shard_records=100, fan_in=4).count()
     assert mix_sources(df.limit(0), targets).count() == 0
+
+
+def test_inclusion_probabilities_hold_through_the_operator(spark):
+    """Over many seeds every size class is drawn as often as its probability says, within three standard deviations."""
+    rows = [(i, "a", 1 + i % 50 * 8, "x") for i in range(400)] + [(1000 + i, "b", 100, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, mix_id string")
+    targets = spark.createDataFrame([(1, "a", 0.8, 1), (1, "b", 0.2, 1)], "mix_id long, source string, target_share double, max_repeats int")
+    total, seeds, hits = sum(r[2] for r in rows[:400]), 25, {}
+    p = min(1.0, 60 * 100 / 0.2 * 0.8 / total)
+    for seed in range(seeds):
+        for r in mix_sources(df, targets, seed=seed, shard_records=64, fan_in=4).filter("source = 'a'").collect():
+            hits[(r["n_tokens"] - 1) // 80] = hits.get((r["n_tokens"] - 1) // 80, 0) + r["copies"]
+    n = seeds * 80
+    assert 0.2 < p < 0.8 and len(hits) == 5
+    assert all(abs(h - n * p) < 3 * (n * p * (1 - p)) ** 0.5 for h in hits.values())

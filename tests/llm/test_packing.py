@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from rosterlake.llm.packing import pack, pack_group, packing_report
+from rosterlake.llm.packing import near_mean_limits, pack, pack_group, packing_report
 
 
 def items(spark, rows):
@@ -49,3 +49,24 @@ def test_small_items_fill_well(spark):
     sp = specs(spark, [(1, 1024, None)])
     fill = packing_report(pack(items(spark, rows), sp), sp).first()["fill"]
     assert fill > 0.99
+
+
+def test_limits_near_the_mean_bind(spark):
+    """All three limits bind, and the heuristic fills better under them than taking the largest item that fits."""
+    rng = random.Random(6)
+    rows = [(i, "a", n := rng.choice([8, 12, 20, 60, 90, 200]), rng.randint(0, n // 2), 0) for i in range(2000)]
+    limits = near_mean_limits(items(spark, rows), specs(spark, [(1, 512, None)]), slack=1.1)
+    one = limits.first()
+    out = pack(items(spark, rows), limits).toPandas()
+    sums = out.groupby("container_id").agg(n=("n_tokens", "sum"), k=("n_tokens", "size"), loss=("n_loss", "sum"))
+    assert (sums.n <= 512).all() and (sums.k <= one.max_segments).all() and (sums.loss <= one.max_loss + 1e-6).all()
+    report = packing_report(pack(items(spark, rows), limits), limits).first()
+    assert min(report["tokens_bind"], report["segments_bind"], report["loss_bind"]) > 0.05
+    largest = sorted((r[2] for r in rows), reverse=True)
+    bins: list[list[int]] = []
+    for n in largest:  # first fit by falling size under the limits on tokens and segments alone
+        box = next((b for b in bins if sum(b) + n <= 512 and len(b) < one.max_segments), None)
+        if box is None:
+            bins.append(box := [])
+        box.append(n)
+    assert report["n_containers"] < len(bins) and report["fill"] > 0.93
