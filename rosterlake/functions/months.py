@@ -24,6 +24,8 @@ def month_number(text: Column, first_year: int = 1900, last_year: int = 2100) ->
     t = F.lower(F.trim(F.regexp_replace(text, r"(?U)[\s,]+", " ")))
     for pattern, to in steps:
         t = F.regexp_replace(t, pattern, to)
+    # What is written as year-month already, most dates, needs none of the steps.
+    t = F.when(text.rlike(r"^\d{4}-\d{2}$"), text).otherwise(t)
     pair = F.when(t.rlike(r"^\d{4}-(\d{1,2}|[a-z]{3})$"), t)
 
     def number(p: Column) -> Column:

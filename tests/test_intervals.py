@@ -31,6 +31,16 @@ def test_interval_map_random():
         assert list(m.gaps()) == [(a[1], b[0]) for a, b in zip(brute(spans), brute(spans)[1:])]
 
 
+def test_hot_key_meets_under_salts(spark):
+    rows = [("hot", (i * 37) % 4000, (i * 37) % 4000 + 1) for i in range(6000) if (i * 37) % 4000 % 3] + [("cold", 5, 9)]
+    df = spark.createDataFrame(rows, "key string, a int, b int").repartition(2)
+    out = periods_and_gaps(df, "key", "a", "b").collect()
+    want = brute([(s, e) for k, s, e in rows if k == "hot"])
+    assert sorted((r["a"], r["b"]) for r in out if r["key"] == "hot" and r["span_kind"] == "period") == want
+    assert sorted((r["a"], r["b"]) for r in out if r["key"] == "hot" and r["span_kind"] == "gap") == [(x[1], y[0]) for x, y in zip(want, want[1:])]
+    assert len(out) == 2 * len(want)
+
+
 def test_periods_and_gaps(spark):
     rng = random.Random(6)
     rows = [(f"k{rng.randint(0, 9) if i % 3 else 0}", s, s + rng.randint(-1, 9), "x") for i, s in enumerate(rng.randint(0, 400) for _ in range(3000))]
