@@ -10,8 +10,11 @@ standing alone (a department behind a comma, say) is doubted the more, the more
 
 Defined results: null, empty and blank strings give no row; empty places take no position; repeated values stay;
 an unclosed quotation mark is an ordinary character; records delivered twice with the same content count once.
-An unquoted value is taken to hold at most ``max_inner`` possible delimiters of its own, which keeps a lattice linear
-in the length of its text.
+In a chunk of ``wide`` possible delimiters or fewer every stretch may be a value; in longer ones a value holds at most
+``wide`` of them or as many as the longest value of the column that stands alone, or is the whole chunk, which keeps a
+lattice linear in the length of its text. The rounds of expectation-maximisation end when the likelihood of the column
+grows by less than ``settled`` of itself. Uses expected less than once in a million chunks are no uses: otherwise every
+stretch never seen as a value would slowly gain on the values it is made of.
 """
 
 from __future__ import annotations
@@ -151,6 +154,12 @@ class Model(NamedTuple):
     rates: dict[str, float]
 
 
+def _ends(i: int, k: int, max_inner: int) -> list[int]:
+    """Last atoms of the values that may begin with atom ``i`` of ``k``: those within reach, and the last for the first."""
+    near = list(range(i, min(k, i + max_inner + 1)))
+    return [*near, k - 1] if i == 0 and near[-1] < k - 1 else near
+
+
 def _lattice(chunk: str, scores: dict[str, tuple[float, float, float]], model: Model, hard: bool, max_inner: int):
     spans, classes = atoms(chunk)
     k = len(spans)
@@ -161,9 +170,9 @@ def _lattice(chunk: str, scores: dict[str, tuple[float, float, float]], model: M
     edges = []
     for i in range(k):
         inner = 0.0
-        for j in range(i, min(k, i + max_inner + 1)):
+        for j in _ends(i, k, max_inner):
             if j > i:
-                inner += log_keep[j - 1]
+                inner = sum(log_keep[i:j]) if j == k - 1 > i + max_inner else inner + log_keep[j - 1]
             text = chunk[spans[i][0] : spans[j][1]]
             key = value_key(text)
             base = math.log(model.new) - CHAR_COST * len(key)
@@ -171,7 +180,7 @@ def _lattice(chunk: str, scores: dict[str, tuple[float, float, float]], model: M
             mass = base
             if count > 0:
                 top = max(base, math.log(count))
-                mass = top + math.log(math.exp(base - top) + count * math.exp(-top))
+                mass = top + math.log(math.exp(base - top) + math.exp(math.log(count) - top))
             if sure == 0 and j - i < k - 1:
                 mass += model.doubt * max(0.0, seen - 1)
             s = mass - math.log(model.total + model.new) + inner - CHAR_COST * (len(text) - len(key))
@@ -182,7 +191,7 @@ def _lattice(chunk: str, scores: dict[str, tuple[float, float, float]], model: M
 
 
 def expected(chunk: str, scores: dict, model: Model, hard: bool, max_inner: int):
-    """Expected uses of each value and of each delimiter class in one chunk (forward-backward)."""
+    """Expected uses of each value, log likelihood, and expected uses of each delimiter class of one chunk (forward-backward)."""
     k, classes, edges = _lattice(chunk, scores, model, hard, max_inner)
     fwd, bwd = [-math.inf] * (k + 1), [-math.inf] * (k + 1)
     fwd[0] = bwd[k] = 0.0
@@ -205,7 +214,7 @@ def expected(chunk: str, scores: dict, model: Model, hard: bool, max_inner: int)
             values[key] = values.get(key, 0.0) + p
             if j < k - 1:
                 cuts[j] += p
-    return values, [(f"{c}_{'h' if hard else 's'}", x) for c, x in zip(classes, cuts)]
+    return values, fwd[k], [(f"{c}_{'h' if hard else 's'}", x) for c, x in zip(classes, cuts)]
 
 
 def viterbi(chunk: str, scores: dict, model: Model, hard: bool, max_inner: int) -> list[str]:
@@ -257,8 +266,9 @@ def split_packed(
     records: DataFrame,
     id_col: str,
     fields: list[str],
-    iterations: int = 3,
-    max_inner: int = 8,
+    wide: int = 32,
+    settled: float = 1e-2,
+    most_rounds: int = 20,
 ) -> DataFrame:
     """(id, field_name, item_pos, item) for every value of ``fields``; see the module docstring.
 
@@ -281,6 +291,9 @@ def split_packed(
         F.count("*").alias("_n")
     )
 
+    alone = distinct.filter("not _open").select((F.size(F.regexp_extract_all("_chunk", F.lit(r"([,/&+]|\band\b)"), F.lit(1)))).alias("n"))
+    max_inner = max(wide, alone.agg(F.max("n")).first()[0] or 0)
+
     def spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -296,7 +309,7 @@ def split_packed(
                 keys = {
                     (value_key(c[spans[i][0] : spans[j][1]]), j - i == last)
                     for i in range(last + 1)
-                    for j in range(i, min(last + 1, i + max_inner + 1))
+                    for j in _ends(i, last + 1, max_inner)
                 }
                 rows.extend((f, h, c, float(n), k, w) for k, w in keys)
             yield pd.DataFrame(rows, columns=["_field", "_hard", "_chunk", "_n", "_key", "_whole"])
@@ -335,13 +348,15 @@ def split_packed(
         }
 
     models = learned({}, {})
-    for _ in range(iterations):
+    before = None
+    for _ in range(most_rounds):
 
         def e_step(batches: Iterator[pd.DataFrame], models=models) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
                 for f, c, h, n, known in zip(pdf["_field"], pdf["_chunk"], pdf["_hard"], pdf["_n"], pdf["_known"]):
-                    values, cuts = expected(c, known_of(known), models.get(f, none), h, max_inner)
+                    values, fit, cuts = expected(c, known_of(known), models.get(f, none), h, max_inner)
+                    rows.append((f, "l", "", n * fit, 0.0))
                     rows.extend((f, "v", k, n * p, 0.0) for k, p in values.items())
                     rows.extend((f, "d", k, n * p, n) for k, p in cuts)
                 out = pd.DataFrame(rows, columns=["_field", "_sort", "_key", "_freq", "_of"])
@@ -355,9 +370,12 @@ def split_packed(
         )
         rates: dict[str, dict[str, float]] = {f: {} for f in fields}
         unsure: dict[str, float] = {}
+        fit = 0.0
         mark = F.when(F.col("_sort") == "d", F.col("_key")).alias("k")
-        for r in soft.groupBy("_field", mark).agg(F.sum("_freq").alias("n"), F.sum("_of").alias("of")).collect():
-            if r["k"] is None:
+        for r in soft.groupBy("_field", "_sort", mark).agg(F.sum("_freq").alias("n"), F.sum("_of").alias("of")).collect():
+            if r["_sort"] == "l":
+                fit += r["n"]
+            elif r["k"] is None:
                 unsure[r["_field"]] = r["n"]
             else:
                 rates[r["_field"]][r["k"]] = (r["n"] + 0.05) / (r["of"] + 0.1)
@@ -366,6 +384,9 @@ def split_packed(
             "_field", "_key", "_freq", none_yet.alias("_sure"), none_yet.alias("_seen")
         )
         freq = start.unionByName(found).groupBy("_field", "_key").agg(*total)
+        if before is not None and fit - before < settled * abs(fit):
+            break
+        before = fit
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
