@@ -114,9 +114,19 @@ def repair(text: Column) -> Column:
     return F.struct(body.alias("text"), count.alias("repairs"), F.regexp_count(both, F.lit("�")).alias("remaining"))
 
 
+@F.pandas_udf(StringType())
+def unaccented(text: pd.Series) -> pd.Series:
+    """Compatibility form without combining marks (no built-in has it)."""
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+# Legal forms and words that carry no identity of an organisation.
+LEGAL_FORMS = "ltd limited llc llp lp inc incorporated corp corporation co plc pvt private group holdings company management".split()
+
+
 def fold_name(name: Column) -> Column:
-    """Organisation names for comparison: lower case, "&" as and, no punctuation, legal forms or other letters."""
-    t = F.lower(F.replace(name, F.lit("&"), F.lit(" and ")))
-    t = F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9 ]", " "), " +", " ")
-    legal = r"\b(ltd|llc|l l c|inc|lp|plc|gmbh|pte|pvt|s a|company|management|limited|corp)\b"
-    return F.trim(F.regexp_replace(F.regexp_replace(t, legal, " "), " +", " "))
+    """Organisation names for comparison: no accents, lower case, "&" as and, no punctuation, legal forms or other letters."""
+    t = F.replace(F.lower(unaccented(name)), F.lit("&"), F.lit(" and "))
+    t = F.regexp_replace(t, r"[.,'\"()\-–—/]", " ")
+    t = F.regexp_replace(t, rf"\b({'|'.join(LEGAL_FORMS)})\b", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 ]+", " "), r"\s+", " "))

@@ -11,13 +11,13 @@ from rosterlake.functions.text import flag_tokens
 PRIORITY = [
     "internal_contradiction", "date_anomaly", "attribution_ambiguity", "missing_data", "typo_or_spelling", "formatting", "other",
 ]
-# Topics of flags by words of their summary, the first that matches.
+# Topics of which a computed check finds everything, by words of the summary; the first that matches.
 TOPICS = [
-    ("contact", r"e-?mail|phone|contact"),
-    ("gap", r"\bgap\b|between roles|unaccounted"),
-    ("overlap", r"overlap|concurrent|simultaneous"),
-    ("location", r"zip|postcode|city|location"),
-    ("credential", r"series\s*\d+|credential|licen[cs]e"),
+    ("email", r"email.*(malformed|missing|invalid|domain|suffix|format)|(malformed|missing|invalid).*email"),
+    ("phone", r"phone.*(malformed|missing|invalid|format|digits)|(malformed|missing|invalid).*phone"),
+    ("gap", r"\bgaps?\b"),
+    ("overlap", r"\boverlap|\bconcurrent\b"),
+    ("series_pair", r"\bseries\s*8[67]\b"),
 ]
 EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
 

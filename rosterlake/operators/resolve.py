@@ -13,12 +13,16 @@ from rosterlake.session import cut, spread
 
 
 def name_index(firms: DataFrame) -> DataFrame:
-    """(key, canonical, is_alias): one entry per folded name; canonical names come before aliases, then list order."""
-    named = firms.select("canonical", F.col("canonical").alias("name"), F.lit(False).alias("is_alias")).unionByName(
-        firms.select("canonical", F.explode("aliases").alias("name"), F.lit(True).alias("is_alias"))
+    """(key, canonical, is_alias): one entry per folded name: of the last canonical name that has it, else of the first alias.
+
+    The order of the list is its column ``ord``, where it has one, else that of the canonical names.
+    """
+    place = F.col("ord").cast("long") if "ord" in firms.columns else F.lit(0).cast("long")
+    named = firms.select("canonical", F.col("canonical").alias("name"), F.lit(False).alias("is_alias"), (-place).alias("at")).unionByName(
+        firms.select("canonical", F.explode("aliases").alias("name"), F.lit(True).alias("is_alias"), place.alias("at"))
     )
     keyed = named.withColumn("key", fold_name(F.col("name"))).filter("key <> ''")
-    best = Window.partitionBy("key").orderBy("is_alias", "canonical")
+    best = Window.partitionBy("key").orderBy("is_alias", "at", "canonical")
     return keyed.withColumn("r", F.row_number().over(best)).filter("r = 1").select("key", "canonical", "is_alias")
 
 
@@ -166,12 +170,13 @@ def lineage(firms: DataFrame) -> DataFrame:
     )
 
 
-def longest_term(texts: DataFrame, terms: DataFrame, id_cols: list[str], text: str, max_words: int = 4) -> DataFrame:
+def longest_term(texts: DataFrame, terms: DataFrame, id_cols: list[str], text: str) -> DataFrame:
     """(ids, term, value): the longest term standing in the text as whole words; earlier terms win ties.
 
-    ``terms``: term (lower case), value, ord. The text's word n-grams are joined with the terms by equality, so the
-    work grows with the text and not with texts times terms.
+    ``terms``: term (lower case), value, ord. The text's word n-grams, as long as the longest term, are joined with the
+    terms by equality, so the work grows with the text and not with texts times terms.
     """
+    max_words = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     words = F.filter(F.split(F.lower(F.col(text)), r"[\s,;:()|/]+"), lambda w: w != "")
     toks = texts.select(*id_cols, words.alias("_w")).filter(F.size("_w") > 0)
     grams = F.flatten(
@@ -189,8 +194,15 @@ def longest_term(texts: DataFrame, terms: DataFrame, id_cols: list[str], text: s
 
 
 def all_terms(texts: DataFrame, terms: DataFrame, id_cols: list[str], text: str) -> DataFrame:
-    """(ids, value): every value one of whose single-word terms stands in the text."""
-    toks = texts.select(*id_cols, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), F.lit(1)))).alias("term"))
+    """(ids, value): every value one of whose terms, of any number of words, stands in the text between non-letters."""
+    max_words = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), F.lit(1))
+    toks = texts.select(*id_cols, words.alias("_w")).filter(F.size("_w") > 0)
+    grams = F.flatten(
+        F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(
+            F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, n), " ")))
+    )
+    toks = toks.select(*id_cols, F.explode(F.array_distinct(grams)).alias("term"))
     return toks.join(terms.select("term", "value"), "term").select(*id_cols, "value").distinct()
 
 

@@ -55,8 +55,9 @@ SQL_SECTORS = (
 )
 SQL_BAND = "CASE WHEN {0} <= 5 THEN 'junior' WHEN {0} <= 9 THEN 'mid' WHEN {0} IS NOT NULL THEN 'senior' END"
 SQL_FOLD = (
-    r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(replace({0}, '&', ' and ')), '[^a-z0-9 ]', ' ', 'g'),"""
-    r""" ' +', ' ', 'g'), '\b(ltd|llc|l l c|inc|lp|plc|gmbh|pte|pvt|s a|company|management|limited|corp)\b', ' ', 'g'), ' +', ' ', 'g'))"""
+    r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower({0})), '&', ' and '), '[.,''"()\-–—/]', ' ', 'g'),"""
+    r""" '\b(ltd|limited|llc|llp|lp|inc|incorporated|corp|corporation|co|plc|pvt|private|group|holdings|company|management)\b', ' ', 'g'),"""
+    r""" '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"""
 )
 
 

@@ -31,7 +31,7 @@ def top_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of every position whose firm is resolved as a whole (its SQL takes letter-for-letter names only)."""
+    """Edges of every position whose firm is resolved as a whole."""
     firms = table(spark, sf_dir, "firms")
     p = roles(spark, sf_dir, "firm")
     m = p.join(resolve_fully(p, firms).filter("resolution in ('exact', 'alias', 'fuzzy')"), F.col("firm") == F.col("raw"))
@@ -188,9 +188,6 @@ ORACLES = {
     "top_tools": """
         WITH t AS (SELECT DISTINCT candidate_id, trim(tool) AS tool FROM (SELECT candidate_id, unnest(string_split(software_tools, ';')) AS tool FROM candidates))
         SELECT tool, count(*) AS n FROM t WHERE tool <> '' GROUP BY 1 ORDER BY n DESC, min(candidate_id), tool LIMIT 9""",
-    "network_edges": """
-        SELECT DISTINCT candidate_id AS a, canonical AS b, 'employment' AS kind FROM positions JOIN firms ON firm = canonical
-        UNION ALL SELECT canonical, parent, 'parent' FROM firms WHERE parent IS NOT NULL AND canonical IN (SELECT firm FROM positions)""",
     "network_layout": """
         SELECT firm_type AS layer, canonical AS node, (row_number() OVER (PARTITION BY firm_type ORDER BY canonical) - 0.5) / count(*) OVER (PARTITION BY firm_type) AS y
         FROM firms""",

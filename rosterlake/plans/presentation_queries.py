@@ -18,21 +18,21 @@ HELP = {"sector_fit": "Share of the wanted sectors.", "coverage_depth": "Names c
 
 
 def score_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of the score of every exact result (its SQL takes the best of a requisition only)."""
+    """The parts of the score of every exact result."""
     exact = _results(spark, sf_dir).filter("result = 'exact'").select("requisition_id", "candidate_id")
     rows = _meet(spark, sf_dir).join(exact, ["requisition_id", "candidate_id"])
     return V.ledger(rows, ["requisition_id", "candidate_id"], _parts())
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line of every exact and near result (its SQL takes the first twenty of a requisition only)."""
+    """The line of every exact and near result."""
     c = people(spark, sf_dir, "name", "location", "seniority_band")
     rows = _results(spark, sf_dir).join(c, "candidate_id")
     return rows.select("requisition_id", "candidate_id", "result", V.result_line([F.col("name"), F.col("location"), F.col("seniority_band")], F.col("gap")).alias("line"))
 
 
 def outreach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A letter for every exact result, quoting the requisition's summary (its SQL takes the best of a requisition only)."""
+    """A letter for every exact result, quoting the requisition's summary."""
     exact = _results(spark, sf_dir).filter("result = 'exact'")
     rows = exact.join(people(spark, sf_dir, "name", "email"), "candidate_id").join(table(spark, sf_dir, "requisitions").select("requisition_id", "title", "summary"), "requisition_id")
     text = V.letter(F.col("name"), F.col("email"), F.concat(F.lit("exact match for "), F.col("title")), F.lit(""), F.col("summary"))
@@ -61,7 +61,7 @@ def help_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (score_ledger, result_lines, outreach_text, position_links, flag_stamp, help_texts)}
 ORACLES = {
     "score_ledger": f"""
-        WITH {_MEET}, b AS (SELECT m.* FROM meet m JOIN result r USING (requisition_id, candidate_id) WHERE r.result = 'exact' AND rank = 1),
+        WITH {_MEET}, b AS (SELECT m.* FROM meet m JOIN result r USING (requisition_id, candidate_id) WHERE r.result = 'exact' ),
         p AS (SELECT requisition_id, candidate_id, 'sector_fit' AS part, s1 AS score, coalesce(w1, 0) AS weight FROM b
           UNION ALL SELECT requisition_id, candidate_id, 'coverage_depth', s2, coalesce(w2, 0) FROM b
           UNION ALL SELECT requisition_id, candidate_id, 'investing_share', s3, coalesce(w3, 0) FROM b)
@@ -69,13 +69,13 @@ ORACLES = {
     "result_lines": f"""
         WITH {_MEET}, c AS (SELECT DISTINCT candidate_id, name, location, seniority_band FROM candidates),
         l AS (SELECT requisition_id, candidate_id, result, gap, concat_ws(' · ', nullif(trim(name, ' '), ''), nullif(trim(location, ' '), ''), nullif(trim(seniority_band, ' '), '')) AS k
-              FROM result JOIN c USING (candidate_id) WHERE rank <= 20)
+              FROM result JOIN c USING (candidate_id))
         SELECT requisition_id, candidate_id, result, CASE WHEN gap IS NOT NULL THEN k || ' — misses ' || gap ELSE k END AS line FROM l""",
     "outreach_text": f"""
         WITH {_MEET}, c AS (SELECT DISTINCT candidate_id, name, email FROM candidates)
         SELECT r.requisition_id, r.candidate_id, md5(concat_ws(chr(10), name, email, 'exact match for ' || q.title,
           CASE WHEN length(q.summary) > 180 THEN substr(q.summary, 1, 180) || '…' ELSE q.summary END)) AS text_md5
-        FROM result r JOIN c USING (candidate_id) JOIN requisitions q ON q.requisition_id = r.requisition_id WHERE r.result = 'exact' AND rank = 1""",
+        FROM result r JOIN c USING (candidate_id) JOIN requisitions q ON q.requisition_id = r.requisition_id WHERE r.result = 'exact'""",
     "position_links": f"""
         WITH r AS ({RESOLVE["resolve_firms"]}), p AS (SELECT DISTINCT candidate_id, pos, firm, start_date, end_date, is_current, duration_months FROM positions)
         SELECT candidate_id, pos, firm, canonical, CASE WHEN start_date IS NOT NULL THEN start_date || ' to ' ||

@@ -53,8 +53,7 @@ def firm_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def platform_alumni(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platforms among the resolved employers of a candidate and the owners of those, in order of first mention (its SQL
-    takes letter-for-letter names only)."""
+    """Platforms among the resolved employers of a candidate and the owners of those, in order of first mention."""
     firms = table(spark, sf_dir, "firms").select("canonical", "firm_type", "parent")
     own = firms.select(F.col("canonical").alias("root"), F.col("canonical").alias("ancestor"), F.lit(0).alias("lvl"))
     line = own.unionByName(R.lineage(firms)).join(firms, F.col("ancestor") == F.col("canonical")).filter(F.col("firm_type").isin(*PLATFORMS))
@@ -151,11 +150,17 @@ def coverage_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _linked(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Positions with the canonical name, type and resolution of their firm, through all tiers of the resolver."""
+    firms = table(spark, sf_dir, "firms")
+    p = roles(spark, sf_dir, "firm", *columns)
+    links = R.resolve_fully(p, firms).join(firms.select("canonical", "firm_type"), "canonical", "left")
+    return p.join(links, F.col("firm") == F.col("raw"), "left").drop("raw")
+
+
 def market_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a candidate has worked on either side, by the kinds of their listed employers."""
-    firms = table(spark, sf_dir, "firms").select(F.col("canonical").alias("firm"), "firm_type")
-    p = roles(spark, sf_dir, "firm").join(firms, "firm", "left")
-    kinds = p.groupBy("candidate_id").agg(F.collect_set("firm_type").alias("k"))
+    """Whether a candidate has worked on either side, by the kinds of their resolved employers."""
+    kinds = _linked(spark, sf_dir).groupBy("candidate_id").agg(F.collect_set("firm_type").alias("k"))
     return kinds.select(
         "candidate_id",
         F.arrays_overlap("k", F.array(*[F.lit(x) for x in BUY_SIDE])).alias("buy"),
@@ -164,8 +169,11 @@ def market_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = roles(spark, sf_dir, "firm", "title", "employment_type").filter("is_current and employment_type = 'professional'")
-    return p.groupBy("candidate_id").agg(F.min(F.struct("pos", "firm", "title")).alias("r")).select("candidate_id", "r.pos", "r.firm", "r.title")
+    """The first current professional position with its firm as resolved (as typed where it is not) and the firm's type."""
+    p = _linked(spark, sf_dir, "title", "employment_type").filter("is_current and employment_type = 'professional'")
+    shown = F.coalesce("canonical", "firm").alias("employer")
+    first = p.groupBy("candidate_id").agg(F.min(F.struct("pos", "firm", "title", shown, "firm_type")).alias("r"))
+    return first.select("candidate_id", "r.pos", "r.firm", "r.title", "r.employer", "r.firm_type")
 
 
 QUERIES = {
@@ -228,13 +236,6 @@ ORACLES = {
                     WHEN of_head IS NOT NULL THEN 'division' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution
         FROM t LEFT JOIN amb ON t.raw = amb.raw""",
     "firm_lineage": f"WITH RECURSIVE {_LINE} SELECT root, cur AS ancestor, lvl FROM up WHERE lvl > 0",
-    "platform_alumni": f"""
-        WITH RECURSIVE {_LINE}, {SQL_ROLES}, line AS (
-          SELECT u.root, u.lvl, coalesce(f.parent, u.cur) AS platform FROM up u JOIN firms f ON f.canonical = u.cur
-          WHERE f.firm_type IN ({quoted(PLATFORMS)})),
-        met AS (SELECT candidate_id, platform, min((pos, lvl)) AS o FROM roles JOIN line ON firm = root
-                WHERE employment_type = 'professional' GROUP BY 1, 2)
-        SELECT candidate_id, string_agg(platform, '; ' ORDER BY o, platform) AS platforms FROM met GROUP BY 1""",
     "location_region": f"WITH {_region('positions')} SELECT location, term, value FROM region",
     "location_fallback": f"""
         WITH {SQL_ROLES}, places AS (
@@ -273,12 +274,4 @@ ORACLES = {
         SELECT DISTINCT candidate_id, coalesce(nullif(trim(market_side), ''), nullif(trim(region), ''), 'unknown') AS market,
                CASE WHEN nullif(trim(market_side), '') IS NOT NULL THEN 'stated' WHEN nullif(trim(region), '') IS NOT NULL THEN 'inferred'
                ELSE 'unknown' END AS provenance FROM candidates""",
-    "market_sides": f"""
-        SELECT candidate_id, coalesce(bool_or(firm_type IN ({quoted(BUY_SIDE)})), false) AS buy,
-               coalesce(bool_or(firm_type IN ({quoted(SELL_SIDE)})), false) AS sell
-        FROM positions LEFT JOIN firms ON firm = canonical GROUP BY 1""",
-    "current_role": f"""
-        WITH {SQL_ROLES}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY pos, firm, title) AS n FROM roles
-          WHERE is_current AND employment_type = 'professional')
-        SELECT candidate_id, pos, firm, title FROM r WHERE n = 1""",
 }

@@ -45,7 +45,7 @@ def text_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_short_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The short name of every candidate (its SQL takes names in ASCII only)."""
+    """The short name of every candidate."""
     return _people(spark, sf_dir).select("candidate_id", T.short_name(F.col("name")).alias("short_name"))
 
 
@@ -139,10 +139,6 @@ ORACLES = {
     "text_display_name": f"""
         WITH b AS (SELECT candidate_id, {_BARE} AS n FROM {_PEOPLE} WHERE name IS NOT NULL)
         SELECT candidate_id, CASE WHEN upper(n) = n THEN {_INITCAP.format("n")} ELSE n END AS display_name FROM b""",
-    "text_short_name": rf"""
-        WITH b AS (SELECT candidate_id, list_filter(regexp_split_to_array(trim({_BARE}), '\s+'),
-                   lambda x: x <> '' AND NOT starts_with(x, '(')) AS w FROM {_PEOPLE} WHERE regexp_full_match(name, '[ -~]*'))
-        SELECT candidate_id, w[len(w)] AS short_name FROM b""",
     "text_label": f"""
         SELECT DISTINCT candidate_id, coalesce({_INITCAP.format("replace(approach_family, '_', ' ')")}, '—') AS family,
                coalesce({_INITCAP.format("replace(market_side, '_', ' ')")}, '—') AS side FROM candidates""",
