@@ -84,16 +84,12 @@ def country_ways(spark: SparkSession) -> DataFrame:
 VOWEL_FREE = "regexp_replace({0}, '(?<=.)[aeiou]', '')"
 
 
-def reference_forms(reference: DataFrame, ways: DataFrame) -> DataFrame:
-    """(field_name, form, value_id, cost, proper): every way an entry may be written, without spaces.
+def reference_heads(reference: DataFrame, ways: DataFrame) -> DataFrame:
+    """(field_name, value_id, land, cost, ws): words of each entry's name, its aliases and, for a country, its other names.
 
-    ``proper`` entries are names of places or share words with other entries: their words are only shortened where they
-    recur as first words (Port, Upper), and never left out.
+    ``land``: the country code of entries "name, country".
     """
-    spark = reference.sparkSession
-    bare = VOWEL_FREE.format("w")
-    thin = f"regexp_replace({bare}, r'(.)\\1', '$1')"
-    short = spark.sql(
+    return reference.sparkSession.sql(
         rf"""
         WITH entry AS (
           SELECT r.field_name, r.value_id, r.canonical, coalesce(r.aliases, array()) AS aliases, p.code AS land, o.code AS own
@@ -105,10 +101,27 @@ def reference_forms(reference: DataFrame, ways: DataFrame) -> DataFrame:
           SELECT field_name, value_id, land, 0 AS cost, CASE WHEN land IS NULL THEN canonical ELSE split_part(canonical, ',', 1) END AS text FROM entry
           UNION ALL SELECT field_name, value_id, land, 0, explode(aliases) FROM entry
           UNION ALL SELECT e.field_name, e.value_id, e.land, 1, w.way FROM entry e JOIN {{ways}} w ON e.own = w.code AND w.english AND length(w.way) > 2),
-        spelt AS (
-          SELECT DISTINCT field_name, value_id, land, cost, split(text, ' ') AS ws FROM (
-            SELECT field_name, value_id, land, cost, {folded("text")} AS text FROM head
-            UNION ALL SELECT field_name, value_id, land, cost, {folded(_digraphs("text"))} FROM head) WHERE text <> ''),
+        twin AS (SELECT field_name, value_id, land, cost, explode(array(text, {_digraphs("text")})) AS text FROM head),
+        plain AS (SELECT DISTINCT field_name, value_id, land, cost, {folded("text")} AS text FROM twin)
+        SELECT field_name, value_id, land, cost, split(text, ' ') AS ws FROM plain WHERE text <> ''
+        """,
+        ref=reference,
+        ways=ways,
+    )
+
+
+def reference_forms(heads: DataFrame, ways: DataFrame) -> DataFrame:
+    """(field_name, form, value_id, cost, proper): every way an entry may be written, without spaces.
+
+    ``proper`` entries are names of places or share words with other entries: their words are only shortened where they
+    recur as first words (Port, Upper), and never left out.
+    """
+    spark = heads.sparkSession
+    bare = VOWEL_FREE.format("w")
+    thin = f"regexp_replace({bare}, r'(.)\\1', '$1')"
+    short = spark.sql(
+        rf"""
+        WITH spelt AS (SELECT * FROM {{heads}}),
         word AS (SELECT field_name, value_id, w, i = 0 AND size(ws) > 1 AS opens FROM spelt LATERAL VIEW posexplode(ws) AS i, w),
         shared AS (SELECT field_name, w, bool_or(opens) AS opens FROM word GROUP BY ALL HAVING count(DISTINCT value_id) > 1),
         family AS (
@@ -141,8 +154,7 @@ def reference_forms(reference: DataFrame, ways: DataFrame) -> DataFrame:
           WHERE length(form) > 2 OR length(form) = 2 AND cost <= 2 OR cost = 0 GROUP BY ALL)
         SELECT * FROM short
         """,
-        ref=reference,
-        ways=ways,
+        heads=heads,
     )
     return spark.sql(
         """
@@ -157,32 +169,32 @@ def reference_forms(reference: DataFrame, ways: DataFrame) -> DataFrame:
     )
 
 
-def typed_forms(typed: DataFrame, reference: DataFrame, forms: DataFrame, ways: DataFrame) -> DataFrame:
+def typed_words(typed: DataFrame) -> DataFrame:
+    """(field_name, value, ws): the folded words of distinct typed values; numbers are no words of a value."""
+    return typed.sparkSession.sql(
+        rf"""SELECT field_name, value, filter(split({folded("value")}, ' '), w -> w <> '' AND NOT w RLIKE '^[0-9]+$') AS ws FROM {{typed}}""",
+        typed=typed,
+    )
+
+
+def typed_forms(words: DataFrame, heads: DataFrame, forms: DataFrame, ways: DataFrame) -> DataFrame:
     """(field_name, value, form, cost, loose, lost, blend) of distinct typed values; see the module docstring.
 
     ``loose`` forms may differ by edits, the others must be met exactly; ``lost`` forms lack a word that entries use, and
-    ``lost`` and ``blend`` forms only meet entries that are not proper. Numbers are no words of a value.
+    ``lost`` and ``blend`` forms only meet entries that are not proper.
     """
-    spark = typed.sparkSession
-    return spark.sql(
-        rf"""
-        WITH entry AS (SELECT field_name, {folded("canonical")} AS text, {folded(_digraphs("canonical"))} AS twin, coalesce(aliases, array()) AS aliases FROM {{ref}}),
-        lands AS (
-          SELECT DISTINCT r.field_name, w.code FROM {{ref}} r JOIN {{ways}} w ON r.canonical LIKE '%,%' AND {folded("split_part(r.canonical, ',', -1)")} = w.way),
-        used AS (
-          SELECT DISTINCT field_name, explode(split(text, ' ')) AS w FROM (
-            SELECT field_name, text FROM entry UNION ALL SELECT field_name, twin FROM entry
-            UNION ALL SELECT field_name, {folded("alias")} FROM entry LATERAL VIEW explode(aliases) AS alias
-            UNION ALL SELECT f.field_name, w.way FROM {{ways}} w JOIN lands f ON w.code = f.code)),
+    return words.sparkSession.sql(
+        r"""
+        WITH used AS (
+          SELECT field_name, explode(ws) AS w FROM {heads}
+          UNION SELECT h.field_name, explode(split(w.way, ' ')) FROM (SELECT DISTINCT field_name, land FROM {heads}) h JOIN {ways} w ON w.code = h.land),
         noise AS (
-          SELECT t.field_name, t.w, true AS noise FROM (SELECT field_name, value, explode(array_distinct(split({folded("value")}, ' '))) AS w FROM {{typed}}) t
-          JOIN (SELECT field_name, count(*) AS n FROM {{typed}} GROUP BY 1) a ON t.field_name = a.field_name
+          SELECT t.field_name, t.w, true AS noise FROM (SELECT field_name, value, explode(array_distinct(ws)) AS w FROM {words}) t
+          JOIN (SELECT field_name, count(*) AS n FROM {words} GROUP BY 1) a ON t.field_name = a.field_name
           LEFT ANTI JOIN used u ON t.field_name = u.field_name AND t.w = u.w
           GROUP BY t.field_name, t.w, a.n HAVING count(*) >= greatest(4, 0.002 * a.n)),
-        kinds AS (SELECT DISTINCT field_name, true AS free FROM {{forms}} WHERE NOT proper),
-        told AS (
-          SELECT t.field_name, t.value, filter(split({folded("t.value")}, ' '), w -> w <> '' AND NOT w RLIKE '^[0-9]+$') AS ws, coalesce(k.free, false) AS free
-          FROM {{typed}} t LEFT JOIN kinds k ON t.field_name = k.field_name),
+        kinds AS (SELECT DISTINCT field_name, true AS free FROM {forms} WHERE NOT proper),
+        told AS (SELECT t.*, coalesce(k.free, false) AS free FROM {words} t LEFT JOIN kinds k ON t.field_name = k.field_name),
         known AS (
           SELECT o.field_name, o.value, any_value(o.ws) AS ws, any_value(o.free) AS free, collect_set(u.w) AS used,
                  collect_set(CASE WHEN n.noise THEN o.w END) AS noise
@@ -214,8 +226,8 @@ def typed_forms(typed: DataFrame, reference: DataFrame, forms: DataFrame, ways:
           UNION ALL SELECT field_name, value, form, cost, false, false, true FROM stems)
         GROUP BY field_name, value, form
         """,
-        typed=typed,
-        ref=reference,
+        words=words,
+        heads=heads,
         forms=forms,
         ways=ways,
     )
@@ -273,8 +285,10 @@ def map_to_reference(
     )
     distinct = cut(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells))
     ways = cut(country_ways(spark))
-    forms = cut(reference_forms(reference, ways))
-    typed = cut(typed_forms(distinct, reference, forms, ways))
+    heads = cut(reference_heads(reference, ways))
+    forms = cut(reference_forms(heads, ways))
+    words = cut(typed_words(distinct))
+    typed = cut(typed_forms(words, heads, forms, ways))
     cheapest = "SELECT field_name, value, min(struct(cost, value_id)) AS b FROM {near} GROUP BY field_name, value"
     first = cut(spark.sql(f"SELECT field_name, value, b.value_id, b.cost FROM ({cheapest})", near=segment_join(typed, forms)))
 
@@ -287,7 +301,8 @@ def map_to_reference(
           SELECT c.id, c.field_name, e.market FROM {{cells}} c JOIN {{first}} f ON c.field_name = f.field_name AND c.value = f.value JOIN entry e ON f.value_id = e.value_id
           UNION SELECT c.id, c.field_name, e.market FROM {{whole}} c JOIN entry e ON c.field_name = e.field_name AND c.value = e.canonical),
         open AS (
-          SELECT c.id, c.field_name, c.value, {folded("c.value")} AS text FROM {{cells}} c LEFT ANTI JOIN {{first}} f ON c.field_name = f.field_name AND c.value = f.value
+          SELECT c.id, c.field_name, c.value, array_join(w.ws, ' ') AS text FROM {{cells}} c JOIN {{words}} w ON c.field_name = w.field_name AND c.value = w.value
+          LEFT ANTI JOIN {{first}} f ON c.field_name = f.field_name AND c.value = f.value
           WHERE c.field_name IN (SELECT field_name FROM one)),
         seen AS (
           SELECT o.field_name, o.text, p.market, count(*) AS n FROM open o JOIN placed p ON o.id = p.id AND o.field_name <> p.field_name WHERE o.text <> '' GROUP BY ALL),
@@ -295,17 +310,18 @@ def map_to_reference(
         SELECT DISTINCT o.field_name, o.value, one.value_id, 9 AS cost FROM open o JOIN clear c ON o.field_name = c.field_name AND o.text = c.text
         JOIN one ON one.field_name = c.field_name AND one.market = c.market
         """,
-        cells=cells, whole=whole, first=first, ref=reference,
+        cells=cells, whole=whole, first=first, ref=reference, words=words,
     )
     found = cut(spark.sql("SELECT * FROM {first} UNION ALL SELECT * FROM {taught}", first=first, taught=taught))
 
     # What often matched is a way to write its entry, for values misspelt once more.
     learned = spark.sql(
-        f"""SELECT f.field_name, replace({folded("f.value")}, ' ', '') AS form, min(f.value_id) AS value_id, 1 AS cost, false AS proper
+        f"""SELECT f.field_name, array_join(w.ws, '') AS form, min(f.value_id) AS value_id, 1 AS cost, false AS proper
             FROM {{found}} f JOIN {{cells}} c ON f.field_name = c.field_name AND f.value = c.value
+            JOIN {{words}} w ON f.field_name = w.field_name AND f.value = w.value
             JOIN (SELECT DISTINCT field_name FROM {{forms}} WHERE NOT proper) k ON f.field_name = k.field_name
             GROUP BY 1, 2 HAVING count(DISTINCT f.value_id) = 1 AND count(*) >= {witnesses}""",
-        found=found, cells=cells, forms=forms,
+        found=found, cells=cells, forms=forms, words=words,
     )
     again = segment_join(typed.filter("loose"), cut(learned))
     best = spark.sql(
