@@ -119,7 +119,7 @@ def reference_forms(heads: DataFrame, ways: DataFrame) -> DataFrame:
     spark = heads.sparkSession
     bare = VOWEL_FREE.format("w")
     thin = f"regexp_replace({bare}, r'(.)\\1', '$1')"
-    short = spark.sql(
+    family = spark.sql(
         rf"""
         WITH spelt AS (SELECT * FROM {{heads}}),
         word AS (SELECT field_name, value_id, w, i = 0 AND size(ws) > 1 AS opens FROM spelt LATERAL VIEW posexplode(ws) AS i, w),
@@ -128,8 +128,15 @@ def reference_forms(heads: DataFrame, ways: DataFrame) -> DataFrame:
           SELECT s.*, s.land IS NOT NULL OR exists(s.ws, w -> array_contains(coalesce(f.ws, array()), w)) AS proper,
                  coalesce(f.opens, array()) AS opens
           FROM spelt s LEFT JOIN (SELECT field_name, collect_list(w) AS ws, collect_list(CASE WHEN opens THEN w END) AS opens FROM shared GROUP BY 1) f
-            ON s.field_name = f.field_name),
-        choice AS (
+            ON s.field_name = f.field_name)
+        SELECT * FROM family
+        """,
+        heads=heads,
+    )
+    family = cut(family)
+    short = spark.sql(
+        rf"""
+        WITH choice AS (
           SELECT field_name, value_id, land, cost, proper, ws, transform(ws, (w, i) -> filter(flatten(array(
             array(struct(w AS t, 0 AS c)),
             CASE WHEN proper AND i = 0 AND size(ws) > 1 AND array_contains(opens, w) THEN
@@ -141,20 +148,20 @@ def reference_forms(heads: DataFrame, ways: DataFrame) -> DataFrame:
             CASE WHEN NOT proper THEN array(struct({bare} AS t, 1 AS c), struct(replace(w, 'cross', 'x') AS t, 1 AS c), struct(left(w, 1) || right(w, 1) AS t, 2 AS c))
             ELSE array() END,
             CASE WHEN NOT proper AND size(ws) > 1 THEN array(struct(left(w, 1) AS t, 2 AS c), struct('' AS t, 3 AS c)) ELSE array() END)),
-            x -> true)) AS options FROM family),
+            x -> true)) AS options FROM {{family}}),
         made AS (
           SELECT field_name, value_id, land, proper, x.t AS form, cost + x.c AS cost FROM choice LATERAL VIEW explode(
             aggregate(options, array(struct('' AS t, 0 AS c, 0 AS n)), (acc, o) -> flatten(transform(acc, a -> transform(o, b ->
               struct(a.t || b.t AS t, a.c + b.c AS c, a.n + CASE WHEN b.t = '' THEN 0 ELSE 1 END AS n)))))) AS x
           WHERE 2 * x.n >= size(ws)
           UNION ALL
-          SELECT field_name, value_id, land, proper, array_join(transform(ws, w -> left(w, 1)), ''), cost + 1 FROM family WHERE NOT proper AND size(ws) > 1),
+          SELECT field_name, value_id, land, proper, array_join(transform(ws, w -> left(w, 1)), ''), cost + 1 FROM {{family}} WHERE NOT proper AND size(ws) > 1),
         short AS (
           SELECT field_name, value_id, land, proper, form, min(cost) AS cost FROM made
           WHERE length(form) > 2 OR length(form) = 2 AND cost <= 2 OR cost = 0 GROUP BY ALL)
         SELECT * FROM short
         """,
-        heads=heads,
+        family=family,
     )
     return spark.sql(
         """
@@ -183,7 +190,8 @@ def typed_forms(words: DataFrame, heads: DataFrame, forms: DataFrame, ways: Data
     ``loose`` forms may differ by edits, the others must be met exactly; ``lost`` forms lack a word that entries use, and
     ``lost`` and ``blend`` forms only meet entries that are not proper.
     """
-    return words.sparkSession.sql(
+    spark = words.sparkSession
+    known = spark.sql(
         r"""
         WITH used AS (
           SELECT field_name, explode(ws) AS w FROM {heads}
@@ -199,26 +207,35 @@ def typed_forms(words: DataFrame, heads: DataFrame, forms: DataFrame, ways: Data
           SELECT o.field_name, o.value, any_value(o.ws) AS ws, any_value(o.free) AS free, collect_set(u.w) AS used,
                  collect_set(CASE WHEN n.noise THEN o.w END) AS noise
           FROM (SELECT *, explode(ws) AS w FROM told) o LEFT JOIN used u ON o.field_name = u.field_name AND o.w = u.w
-          LEFT JOIN noise n ON o.field_name = n.field_name AND o.w = n.w GROUP BY o.field_name, o.value),
-        part AS (
+          LEFT JOIN noise n ON o.field_name = n.field_name AND o.w = n.w GROUP BY o.field_name, o.value)
+        SELECT * FROM known
+        """,
+        words=words,
+        heads=heads,
+        forms=forms,
+        ways=ways,
+    )
+    return spark.sql(
+        r"""
+        WITH part AS (
           SELECT field_name, value, explode(CASE WHEN free AND size(ws) BETWEEN 2 AND 5 THEN
             aggregate(ws, array(struct(cast(array() AS array<string>) AS k, 0 AS c, false AS l)), (acc, w) -> flatten(transform(acc, a -> array(
               struct(array_append(a.k, w) AS k, a.c AS c, a.l AS l),
               struct(a.k AS k, a.c + CASE WHEN array_contains(used, w) THEN 3 ELSE 1 END AS c, a.l OR array_contains(used, w) AS l)))))
             ELSE array(struct(ws AS k, 0 AS c, false AS l)) END) AS x
-          FROM known
+          FROM {known}
           UNION ALL
           SELECT field_name, value, explode(array(
             struct(filter(ws, w -> array_contains(used, w)) AS k, 1 AS c, false AS l),
             struct(filter(ws, (w, i) -> NOT array_contains(noise, w) AND NOT (i > 0 AND i < size(ws) - 1 AND w IN ('in', 'of', 'to', 'at', 'the'))) AS k, 1 AS c, false AS l)))
-          FROM known),
+          FROM {known}),
         blends AS (
           SELECT field_name, value, explode(aggregate(filter(ws, w -> NOT w IN ('and', 'of', 'the')), array(''),
             (acc, w) -> flatten(transform(acc, a -> array(a || left(w, 1), a || left(w, 2), a || left(w, 3)))))) AS form
-          FROM known WHERE free AND size(filter(ws, w -> NOT w IN ('and', 'of', 'the'))) BETWEEN 2 AND 4),
+          FROM {known} WHERE free AND size(filter(ws, w -> NOT w IN ('and', 'of', 'the'))) BETWEEN 2 AND 4),
         stems AS (
           SELECT field_name, value, left(ws[0], n) AS form, (length(ws[0]) - n + 1) div 2 AS cost
-          FROM known LATERAL VIEW explode(sequence(greatest(5, (3 * length(ws[0]) + 4) div 5), length(ws[0]) - 1)) AS n
+          FROM {known} LATERAL VIEW explode(sequence(greatest(5, (3 * length(ws[0]) + 4) div 5), length(ws[0]) - 1)) AS n
           WHERE free AND size(ws) = 1 AND length(ws[0]) BETWEEN 6 AND 40)
         SELECT field_name, value, form, min(cost) AS cost, bool_or(loose) AS loose, bool_and(lost) AS lost, bool_and(blend) AS blend FROM (
           SELECT field_name, value, array_join(x.k, '') AS form, x.c AS cost, x.c <= 1 AS loose, x.l AS lost, false AS blend FROM part WHERE size(x.k) > 0
@@ -226,10 +243,7 @@ def typed_forms(words: DataFrame, heads: DataFrame, forms: DataFrame, ways: Data
           UNION ALL SELECT field_name, value, form, cost, false, false, true FROM stems)
         GROUP BY field_name, value, form
         """,
-        words=words,
-        heads=heads,
-        forms=forms,
-        ways=ways,
+        known=cut(known),
     )
 
 
