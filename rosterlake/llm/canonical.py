@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.session import cut
@@ -62,11 +62,14 @@ def _digraphs(column: str) -> str:
     return out
 
 
-def country_ways(spark: SparkSession) -> DataFrame:
-    """(code, way, english): ISO codes, English names, names in the country's own languages and initials of every country, folded.
+def country_ways(reference: DataFrame) -> DataFrame:
+    """(code, way, english): ISO codes, English names and initials of every country, folded; of the countries that the
+    reference list names also their names in their own languages.
 
-    From java.util.Locale of the runtime: a fixed list of a few thousand short texts.
+    From java.util.Locale of the runtime: a fixed list of some thousand short texts. Only the codes of the countries
+    named, at most those there are, reach the driver, so that no other languages' data are loaded there.
     """
+    spark = reference.sparkSession
     locale = spark._jvm.java.util.Locale
     english = locale.forLanguageTag("en")
     ways = []
@@ -75,10 +78,20 @@ def country_ways(spark: SparkSession) -> DataFrame:
         name = here.getDisplayCountry(english)
         initials = "".join(w[0] for w in name.split() if w[0].isupper())
         ways += [(code, w, True) for w in (code, here.getISO3Country(), name, *([initials] if len(initials) > 1 else []), *MORE_NAMES.get(code, []))]
-    ways += [(x.getCountry(), x.getDisplayCountry(x), False) for x in locale.getAvailableLocales() if len(x.getCountry()) == 2]
-    frame = spark.createDataFrame(ways, "code string, name string, english boolean")
-    both = frame.select("code", F.expr(folded("name")).alias("way"), "english").union(frame.select("code", F.expr(folded(_digraphs("name"))), "english"))
-    return both.filter("way <> ''").groupBy("code", "way").agg(F.bool_or("english").alias("english"))
+
+    def both(rows: list[tuple]) -> DataFrame:
+        frame = spark.createDataFrame(rows, "code string, name string, english boolean")
+        return frame.select("code", F.expr(folded("name")).alias("way"), "english").union(
+            frame.select("code", F.expr(folded(_digraphs("name"))), "english")
+        )
+
+    plain = both(ways)
+    named = reference.select(F.expr(folded("split_part(canonical, ',', -1)")).alias("way")).distinct()
+    codes = {r["code"] for r in plain.join(named, "way").select("code").distinct().collect()}
+    own = [(x.getCountry(), x) for x in locale.getAvailableLocales() if x.getCountry() in codes and not x.getScript() and not x.getVariant()]
+    native = [(code, x.getDisplayCountry(x), False) for code, x in own]
+    out = plain.union(both(native)) if native else plain
+    return out.filter("way <> ''").groupBy("code", "way").agg(F.bool_or("english").alias("english"))
 
 
 VOWEL_FREE = "regexp_replace({0}, '(?<=.)[aeiou]', '')"
@@ -298,7 +311,7 @@ def map_to_reference(
         "SELECT c.* FROM {cells} c LEFT ANTI JOIN {ref} r ON c.field_name = r.field_name AND c.value = r.canonical", cells=whole, ref=reference
     )
     distinct = cut(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells))
-    ways = cut(country_ways(spark))
+    ways = cut(country_ways(reference))
     heads = cut(reference_heads(reference, ways))
     forms = cut(reference_forms(heads, ways))
     words = cut(typed_words(distinct))
