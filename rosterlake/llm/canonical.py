@@ -27,7 +27,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.session import cut
+from rosterlake.session import settle_lean as cut
 
 EDITS = 2
 # Common English names of countries that the locale data does not have, by ISO 3166 code.
@@ -204,29 +204,33 @@ def typed_forms(words: DataFrame, heads: DataFrame, forms: DataFrame, ways: Data
     ``lost`` and ``blend`` forms only meet entries that are not proper.
     """
     spark = words.sparkSession
+    used = spark.sql(
+        """
+        SELECT field_name, explode(ws) AS w FROM {heads}
+        UNION SELECT h.field_name, explode(split(w.way, ' ')) FROM (SELECT DISTINCT field_name, land FROM {heads}) h JOIN {ways} w ON w.code = h.land
+        """,
+        heads=heads,
+        ways=ways,
+    )
     known = spark.sql(
         r"""
-        WITH used AS (
-          SELECT field_name, explode(ws) AS w FROM {heads}
-          UNION SELECT h.field_name, explode(split(w.way, ' ')) FROM (SELECT DISTINCT field_name, land FROM {heads}) h JOIN {ways} w ON w.code = h.land),
-        noise AS (
+        WITH noise AS (
           SELECT t.field_name, t.w, true AS noise FROM (SELECT field_name, value, explode(array_distinct(ws)) AS w FROM {words}) t
           JOIN (SELECT field_name, count(*) AS n FROM {words} GROUP BY 1) a ON t.field_name = a.field_name
-          LEFT ANTI JOIN used u ON t.field_name = u.field_name AND t.w = u.w
+          LEFT ANTI JOIN {used} u ON t.field_name = u.field_name AND t.w = u.w
           GROUP BY t.field_name, t.w, a.n HAVING count(*) >= greatest(4, 0.002 * a.n)),
         kinds AS (SELECT DISTINCT field_name, true AS free FROM {forms} WHERE NOT proper),
         told AS (SELECT t.*, coalesce(k.free, false) AS free FROM {words} t LEFT JOIN kinds k ON t.field_name = k.field_name),
         known AS (
           SELECT o.field_name, o.value, any_value(o.ws) AS ws, any_value(o.free) AS free, collect_set(u.w) AS used,
                  collect_set(CASE WHEN n.noise THEN o.w END) AS noise
-          FROM (SELECT *, explode(ws) AS w FROM told) o LEFT JOIN used u ON o.field_name = u.field_name AND o.w = u.w
+          FROM (SELECT *, explode(ws) AS w FROM told) o LEFT JOIN {used} u ON o.field_name = u.field_name AND o.w = u.w
           LEFT JOIN noise n ON o.field_name = n.field_name AND o.w = n.w GROUP BY o.field_name, o.value)
         SELECT * FROM known
         """,
         words=words,
-        heads=heads,
+        used=cut(used),
         forms=forms,
-        ways=ways,
     )
     return spark.sql(
         r"""
@@ -307,9 +311,9 @@ def map_to_reference(
         records=records,
     ))
     # Each table that several steps read is computed once; plans stay small for the driver.
-    cells = spark.sql(
+    cells = cut(spark.sql(
         "SELECT c.* FROM {cells} c LEFT ANTI JOIN {ref} r ON c.field_name = r.field_name AND c.value = r.canonical", cells=whole, ref=reference
-    )
+    ))
     distinct = cut(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells))
     ways = cut(country_ways(reference))
     heads = cut(reference_heads(reference, ways))
@@ -320,24 +324,28 @@ def map_to_reference(
     first = cut(spark.sql(f"SELECT field_name, value, b.value_id, b.cost FROM ({cheapest})", near=segment_join(typed, forms)))
 
     # Markets of the records by their other fields teach values that no way of writing answers.
+    one = cut(spark.sql(
+        "SELECT field_name, market, min(value_id) AS value_id FROM {ref} WHERE market IS NOT NULL GROUP BY ALL HAVING count(*) = 1", ref=reference
+    ))
+    unanswered = cut(spark.sql(
+        """SELECT c.id, c.field_name, c.value, array_join(w.ws, ' ') AS text FROM {cells} c JOIN {words} w ON c.field_name = w.field_name AND c.value = w.value
+           LEFT ANTI JOIN {first} f ON c.field_name = f.field_name AND c.value = f.value
+           WHERE c.field_name IN (SELECT field_name FROM {one})""",
+        cells=cells, words=words, first=first, one=one,
+    ))
     taught = spark.sql(
         f"""
         WITH entry AS (SELECT field_name, value_id, canonical, market FROM {{ref}} WHERE market IS NOT NULL),
-        one AS (SELECT field_name, market, min(value_id) AS value_id FROM entry GROUP BY ALL HAVING count(*) = 1),
         placed AS (
           SELECT c.id, c.field_name, e.market FROM {{cells}} c JOIN {{first}} f ON c.field_name = f.field_name AND c.value = f.value JOIN entry e ON f.value_id = e.value_id
           UNION SELECT c.id, c.field_name, e.market FROM {{whole}} c JOIN entry e ON c.field_name = e.field_name AND c.value = e.canonical),
-        open AS (
-          SELECT c.id, c.field_name, c.value, array_join(w.ws, ' ') AS text FROM {{cells}} c JOIN {{words}} w ON c.field_name = w.field_name AND c.value = w.value
-          LEFT ANTI JOIN {{first}} f ON c.field_name = f.field_name AND c.value = f.value
-          WHERE c.field_name IN (SELECT field_name FROM one)),
         seen AS (
-          SELECT o.field_name, o.text, p.market, count(*) AS n FROM open o JOIN placed p ON o.id = p.id AND o.field_name <> p.field_name WHERE o.text <> '' GROUP BY ALL),
+          SELECT o.field_name, o.text, p.market, count(*) AS n FROM {{open}} o JOIN placed p ON o.id = p.id AND o.field_name <> p.field_name WHERE o.text <> '' GROUP BY ALL),
         clear AS (SELECT field_name, text, max_by(market, n) AS market FROM seen GROUP BY ALL HAVING sum(n) >= {witnesses} AND max(n) >= {agree} * sum(n))
-        SELECT DISTINCT o.field_name, o.value, one.value_id, 9 AS cost FROM open o JOIN clear c ON o.field_name = c.field_name AND o.text = c.text
-        JOIN one ON one.field_name = c.field_name AND one.market = c.market
+        SELECT DISTINCT o.field_name, o.value, one.value_id, 9 AS cost FROM {{open}} o JOIN clear c ON o.field_name = c.field_name AND o.text = c.text
+        JOIN {{one}} one ON one.field_name = c.field_name AND one.market = c.market
         """,
-        cells=cells, whole=whole, first=first, ref=reference, words=words,
+        cells=cells, whole=whole, first=first, ref=reference, open=unanswered, one=one,
     )
     found = cut(spark.sql("SELECT * FROM {first} UNION ALL SELECT * FROM {taught}", first=first, taught=taught))
 

@@ -1,5 +1,6 @@
 import random
 
+from rosterlake.llm import canonical
 from rosterlake.llm.canonical import map_to_reference
 
 REF = [
@@ -56,3 +57,16 @@ def test_edges(spark):
     assert [r["value_id"] for r in map_to_reference(df, "candidate_id", fields, ref).collect()] == [0]
     assert map_to_reference(df.limit(0), "candidate_id", fields, ref).count() == 0
     assert map_to_reference(df, "candidate_id", fields, ref.limit(0)).count() == 1
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """No step computes what another shares with it again: large plans fill the driver's memory."""
+    joins, cut = [], canonical.cut
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(canonical, "cut", counted)
+    assert run(spark, [("a", "Pt. Alda, JP", "EU", "HF", 0)]) == {("a", "location"): 1, ("a", "region"): 9, ("a", "current_firm_type"): 11}
+    assert max(joins) <= 10
