@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.session import settle_lean as cut
+from rosterlake.session import settle_small
 
 EDITS = 2
 # Common English names of countries that the locale data does not have, by ISO 3166 code.
@@ -80,17 +81,17 @@ def country_ways(reference: DataFrame) -> DataFrame:
         ways += [(code, w, True) for w in (code, here.getISO3Country(), name, *([initials] if len(initials) > 1 else []), *MORE_NAMES.get(code, []))]
 
     def both(rows: list[tuple]) -> DataFrame:
-        frame = spark.createDataFrame(rows, "code string, name string, english boolean")
+        frame = spark.createDataFrame(rows, "code string, name string, english boolean").coalesce(1)
         return frame.select("code", F.expr(folded("name")).alias("way"), "english").union(
             frame.select("code", F.expr(folded(_digraphs("name"))), "english")
         )
 
-    plain = both(ways)
+    plain = both(ways).coalesce(1)
     named = reference.select(F.expr(folded("split_part(canonical, ',', -1)")).alias("way")).distinct()
-    codes = {r["code"] for r in plain.join(named, "way").select("code").distinct().collect()}
+    codes = {r["code"] for r in settle_small(plain.join(named, "way").select("code").distinct()).collect()}
     own = [(x.getCountry(), x) for x in locale.getAvailableLocales() if x.getCountry() in codes and not x.getScript() and not x.getVariant()]
     native = [(code, x.getDisplayCountry(x), False) for code, x in own]
-    out = plain.union(both(native)) if native else plain
+    out = plain.union(both(native)).coalesce(1) if native else plain
     return out.filter("way <> ''").groupBy("code", "way").agg(F.bool_or("english").alias("english"))
 
 
@@ -146,7 +147,7 @@ def reference_forms(heads: DataFrame, ways: DataFrame) -> DataFrame:
         """,
         heads=heads,
     )
-    family = cut(family)
+    family = settle_small(family)
     short = spark.sql(
         rf"""
         WITH choice AS (
@@ -229,7 +230,7 @@ def typed_forms(words: DataFrame, heads: DataFrame, forms: DataFrame, ways: Data
         SELECT * FROM known
         """,
         words=words,
-        used=cut(used),
+        used=settle_small(used),
         forms=forms,
     )
     return spark.sql(
@@ -303,6 +304,7 @@ def map_to_reference(
     ``agree``, ``witnesses``: a value is learned by its market if at least that share of at least that many records agree.
     """
     spark = records.sparkSession
+    reference = reference.coalesce(1)
     stack = ", ".join(f"'{f}', cast({f} as string)" for f in fields)
     whole = cut(spark.sql(
         f"""SELECT DISTINCT {id_col} AS id, field_name, value
@@ -315,8 +317,8 @@ def map_to_reference(
         "SELECT c.* FROM {cells} c LEFT ANTI JOIN {ref} r ON c.field_name = r.field_name AND c.value = r.canonical", cells=whole, ref=reference
     ))
     distinct = cut(spark.sql("SELECT DISTINCT field_name, value FROM {cells}", cells=cells))
-    ways = cut(country_ways(reference))
-    heads = cut(reference_heads(reference, ways))
+    ways = settle_small(country_ways(reference))
+    heads = settle_small(reference_heads(reference, ways))
     forms = cut(reference_forms(heads, ways))
     words = cut(typed_words(distinct))
     typed = cut(typed_forms(words, heads, forms, ways))
@@ -324,7 +326,7 @@ def map_to_reference(
     first = cut(spark.sql(f"SELECT field_name, value, b.value_id, b.cost FROM ({cheapest})", near=segment_join(typed, forms)))
 
     # Markets of the records by their other fields teach values that no way of writing answers.
-    one = cut(spark.sql(
+    one = settle_small(spark.sql(
         "SELECT field_name, market, min(value_id) AS value_id FROM {ref} WHERE market IS NOT NULL GROUP BY ALL HAVING count(*) = 1", ref=reference
     ))
     unanswered = cut(spark.sql(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,27 +47,56 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **conf: str) -> DataFrame:
     """As ``cut``, and the shuffle files of the computation go as soon as its result is written, not when the driver collects
-    its garbage."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    its garbage. ``conf``: session settings for this computation only."""
+    spark = df.sparkSession
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | conf
     checkpoint_dir(spark)
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    before = {key: spark.conf.get(key) for key in conf}
     try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
         return df.select("*").checkpoint()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Collect the driver's garbage and hand the memory that its JVM has freed, but the C library still holds, back to the
+    system; compiling the code of many plans leaves hundreds of MB so. False where the JVM has no such command (not on
+    Linux with glibc, or before 17.0.9): then only garbage is collected."""
+    jvm = spark._jvm
+    jvm.System.gc()
+    array, lang = spark.sparkContext._gateway.new_array, jvm.java.lang
+    kinds = array(lang.Class, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = lang.Class.forName(kind)
+    given = array(lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        return "Trim native heap" in invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return False
 
 
-def settle_lean(df: DataFrame) -> DataFrame:
-    """As ``settle``, and what planning it left in the driver is collected at once, for queries of many large plans: else the
-    driver's heap grows by the garbage of all of them."""
-    out = settle(df)
-    df.sparkSession._jvm.System.gc()
+def settle_lean(df: DataFrame, **conf: str) -> DataFrame:
+    """As ``settle``, and what planning it left in the driver goes at once, for queries of many large plans: else the driver
+    grows by the garbage of all of them."""
+    out = settle(df, **conf)
+    trim_driver(df.sparkSession)
     return out
 
 
+def settle_small(df: DataFrame) -> DataFrame:
+    """As ``settle_lean``, for frames made only of lists with a proven bound, each read as one partition: one job of one task
+    computes them, with no exchange, broadcast or planning anew in the driver. The result is one partition."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    return settle_lean(df, **conf).coalesce(1)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of settled frames that nothing reads any more."""
     for df in frames:

@@ -1,7 +1,12 @@
 import random
+import re
+from pathlib import Path
+
+import pytest
 
 from rosterlake.llm import canonical
 from rosterlake.llm.canonical import map_to_reference
+from rosterlake.session import trim_driver
 
 REF = [
     (1, "location", "Port Alda, Japan", "APAC", ["PALD", "Old Aldus"]),
@@ -70,3 +75,29 @@ def test_plans_stay_small(spark, monkeypatch):
     monkeypatch.setattr(canonical, "cut", counted)
     assert run(spark, [("a", "Pt. Alda, JP", "EU", "HF", 0)]) == {("a", "location"): 1, ("a", "region"): 9, ("a", "current_firm_type"): 11}
     assert max(joins) <= 10
+
+
+def test_few_jobs(spark):
+    """The fixed list is worked up by one task a step: each job more is planned, and kept, in the driver."""
+    context = spark.sparkContext
+    context.setJobGroup("few jobs", "")
+    try:
+        assert run(spark, [("a", "Pt. Alda, JP", "EU", "HF", 0)]) == {("a", "location"): 1, ("a", "region"): 9, ("a", "current_firm_type"): 11}
+        jobs = len(context.statusTracker().getJobIdsForGroup("few jobs"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 85, jobs
+
+
+def test_driver_hands_memory_back(spark):
+    """After a run the driver's JVM holds few MB that it has freed."""
+    run(spark, [("a", "Pt. Alda, JP", "EU", "HF", 0)])
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) >> 10
+
+    before = resident()
+    if not trim_driver(spark):
+        pytest.skip("this JVM can't hand memory back")
+    assert before - resident() < 80, (before, resident())
