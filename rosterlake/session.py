@@ -65,8 +65,8 @@ def settle(df: DataFrame, **conf: str) -> DataFrame:
 
 def trim_driver(spark: SparkSession) -> bool:
     """Collect the driver's garbage and hand the memory that its JVM has freed, but the C library still holds, back to the
-    system; compiling the code of many plans leaves hundreds of MB so. False where the JVM has no such command (not on
-    Linux with glibc, or before 17.0.9): then only garbage is collected."""
+    system; compiling the code of many plans leaves hundreds of MB so. False where the JVM has no such command: then
+    only garbage is collected."""
     jvm = spark._jvm
     jvm.System.gc()
     array, lang = spark.sparkContext._gateway.new_array, jvm.java.lang
